@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets
+from . import mixing, packing, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_packing)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents"), pii_key(spark))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The pseudonymisation key: a secret in production, a fixed value where none is set."""
+    return spark.conf.get("spark.stockpot.pii.key", "stockpot")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity)}
 
 #: DuckDB SQL of the queries that SQL can express at this scale; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}

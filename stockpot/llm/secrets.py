@@ -39,7 +39,7 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     each step adds the entering and removes the leaving character, so a step costs the
     same however long the string is.
     """
-    at = F.transform(F.split(value, ""), lambda c: F.expr("0") + F.instr(F.lit(_ALPHABET), c))
+    at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
     gone = F.concat(F.array_repeat(F.lit(0), window), at)
     steps = F.zip_with(at, F.slice(gone, F.lit(1), F.size(at)), lambda i, o: F.struct(i.alias("i"), o.alias("o")))
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])

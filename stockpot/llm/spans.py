@@ -10,7 +10,7 @@ _BLOCK = 64
 
 def running_sums(values: Column) -> Column:
     """Sums of the elements before each element of array<bigint>, in blocks so that long arrays stay cheap."""
-    blocks = F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda i: F.slice(values, i * _BLOCK + 1, F.lit(_BLOCK)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda i: F.slice(values, i * _BLOCK + 1, F.lit(_BLOCK)))
     zero = F.lit(0).cast("bigint")
     grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
     total = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + x))
