@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, secrets, toxicity
+from . import embdedup, minhash, mixing, packing, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def pii_key(spark: SparkSession) -> str:
     """The pseudonymisation key: a secret in production, a fixed value where none is set."""
     return spark.conf.get("spark.stockpot.pii.key", "stockpot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity, op9_minhash, op10_embedding_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express at this scale; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
