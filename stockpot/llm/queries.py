@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, minhash, mixing, packing, pii, secrets, toxicity
+from . import ann, embdedup, langid, lm, minhash, mixing, packing, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -46,7 +59,7 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.stockpot.pii.key", "stockpot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity, op9_minhash, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity, op6_lm, op7_language, op8_neighbours, op9_minhash, op10_embedding_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express at this scale; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
