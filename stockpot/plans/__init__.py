@@ -1,0 +1 @@
+"""Whole plans: index build, hybrid query, crawl."""
