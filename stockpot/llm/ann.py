@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .vectors import common_length, matrix, unit, usable
 
 #: Vectors of one block and queries of one chunk: what meets in one group.
@@ -169,6 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, share: float =
     differ from the most frequent length take no part. Work is in groups of at most about BLOCK
     vectors and CHUNK queries, so a large cell or query set is only more groups.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     size = common_length(rows, "embedding")
     rows = rows.filter(F.size("embedding") == size)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: Rows of a per-key side table up to which it is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 #: Rows in one Arrow batch, so that a batch of long texts fits a Python worker.
@@ -33,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and make sure that they can import the package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
@@ -65,6 +68,7 @@ def ordered_prefix(df: DataFrame, keys: list[str], values: list[str]) -> DataFra
     Rows that tie on all keys get an arbitrary order among themselves.
     """
     spark = df.sparkSession
+    ship(spark)
     ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     ranged = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(*[F.sum(v).cast("long").alias(v) for v in values]).collect()

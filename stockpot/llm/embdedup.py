@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import components
 from .vectors import matrix, unit, usable
 from .wordhash import mix
@@ -117,6 +117,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     anything is compared; each of its rows has its copies among its links. A row without
     vec_id has component null and is kept.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").withColumn("fit", usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = staged(rows.filter("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0

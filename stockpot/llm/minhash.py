@@ -3,8 +3,9 @@
 Every document's word shingles give a MinHash signature; each (coordinate, value) pair is
 a token under which the document is posted. Two signatures that agree on at least T of K
 coordinates must share one of the K - T + 1 first tokens of either in any common order,
-so only that prefix, rarest tokens first, is posted. Pairs from a list are kept if they
-agree on T coordinates and are then confirmed on the full shingle sets. Lists whose
+so only that prefix, rarest tokens first, is posted, and a document with fewer than T
+tokens that others have is skipped altogether. Pairs from a list are kept if they agree
+on T coordinates and are then confirmed on the full shingle sets. Lists whose
 documents are already connected are skipped, so a group of copies costs about one pair
 a document, and what is left is compared exhaustively across components.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, staged
@@ -24,8 +25,9 @@ from .components import components
 from .wordhash import mix, word_hashes
 
 _STEPS = np.random.default_rng(909).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BUCKETS = 1 << 16
 _BLOCK = 8192
+#: Bits of the map that passes over rows before a join: 1 MB, whatever the input.
+_BITS = 1 << 23
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -102,67 +104,132 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """(token, node): the `prefix` rarest tokens of each class.
+def _postings(classes: DataFrame, k: int, least: int) -> DataFrame:
+    """(token, node): the prefix of each class in the order of token frequency.
 
-    Rarity comes from a table of fixed size, counted over all classes: any common order keeps
-    the prefix guarantee, and hot tokens of shared passages go last.
+    Tokens that only one class has come first in that order and need no posting, so a class
+    with n shared tokens is posted under its n - least + 1 rarest ones, or not at all.
+    Frequencies are summed by the tasks first; the join that brings them back is one that
+    adaptive execution splits where a token is hot.
     """
-    heat = np.zeros(_BUCKETS, np.int64)
-    for r in classes.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).count().collect():
-        heat[r["b"]] = r["count"]
-    sent = classes.sparkSession.sparkContext.broadcast(heat)
+    tokens = classes.select("node", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = Window.partitionBy("node")
+    rows = tokens.join(shared.hint("merge"), "token")
+    rows = rows.withColumn("own", F.count("*").over(mine)).filter(F.col("own") >= least)
+    rows = rows.withColumn("rank", F.row_number().over(mine.orderBy("n", "token")))
+    return rows.filter(F.col("rank") <= F.col("own") - least + 1).select("token", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+
+#: What one part of a group holds at most: shingles where whole sets are compared, else signatures.
+SET_PART, SIGNATURE_PART = 600_000, 4_096
+#: Documents of one component of a part that stand for it when parts meet.
+SPEAKERS = 4
+
+
+def _links(least: int, percent: int):
+    """Compares the members of each group and returns pairs that connect what was not yet connected.
+
+    Members that have a root in common, at the start or by an earlier pair, are not compared.
+    The others must be of similar size and agree on `least` coordinates; where shingles
+    are there, their whole sets decide.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("group", "ascending"), ("node", "ascending")])
+        column = lambda c: table[c].to_numpy()
+        group, node, root, part, size = (column(c) for c in ("group", "node", "root", "part", "n"))
+        cross = bool(table["i"][0].as_py() != table["j"][0].as_py())
+        marks = pa.concat_arrays(table["marks"].chunks).flatten().to_numpy().reshape(len(node), -1)
+        exact = "shingles" in table.column_names
+        if exact:
+            lists = pa.concat_arrays(table["shingles"].chunks)
+            flat, cut = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(size)])
+        borders = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        a, b = [], []
+        for low, high in zip(borders[:-1], borders[1:], strict=True):
+            if high - low < 2:
                 continue
-            tokens = batch.column("tokens").flatten().to_numpy().reshape(batch.num_rows, -1)
-            order = np.lexsort((tokens, sent.value[tokens & (_BUCKETS - 1)]), axis=1)[:, :prefix]
-            picked = np.take_along_axis(tokens, order, 1)
-            nodes = np.repeat(batch.column("node").to_numpy(), picked.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(picked.reshape(-1)), pa.array(nodes)], names=["token", "node"])
-
-    return classes.select("node", "tokens").mapInArrow(run, "token long, node long")
-
-
-class _Join:
-    """Confirms pairs on signatures and full sets and keeps the links found so far."""
-
-    def __init__(self, classes: DataFrame, sets: DataFrame, least: int, percent: int) -> None:
-        self.classes, self.sets, self.least, self.percent = classes, sets, least, percent
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) that agree on `least` coordinates and reach the similarity on their whole sets."""
-        sides = self.classes.select("node", "n_shingles", "tokens")
-        for x in ("a", "b"):
-            pairs = pairs.join(sides.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")), x)
-        # Sets of too different sizes can't reach the similarity.
-        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        agree = F.size(F.filter(F.zip_with("t_a", "t_b", lambda p, q: p == q), lambda same: same)) >= self.least
-        pairs = checkpointed(pairs.filter(close).filter(agree).select("a", "b", "n_a", "n_b"))
-        # The set of the side with few pairs travels to the side that may be the centre of many.
-        for x in ("b", "a"):
-            pairs = pairs.join(self.sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}")), x)
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        return pairs.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * self.percent).select("a", "b").distinct()
-
-    def add(self, pairs: DataFrame) -> None:
-        found = checkpointed(self.confirm(pairs))
-        self.links = found if self.links is None else checkpointed(self.links.union(found))
-        self.labels = components(self.links)
-
-    def placed(self, postings: DataFrame) -> DataFrame:
-        """(token, node, root) of lists that still hold several components."""
-        roots = self.labels.select("node", F.col("root"))
-        rows = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-        return staged(rows.join(mixed, "token", "left_semi"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+            label = root[low:high].copy()
+            for x in range(low, high - 1):
+                y = np.flatnonzero(label[x - low + 1 :] != label[x - low]) + x + 1
+                if cross:
+                    y = y[part[y] != part[x]]
+                y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
+                if len(y):
+                    y = y[(marks[y] == marks[x]).sum(1) >= least]
+                if exact and len(y):
+                    mine = flat[cut[x] : cut[x + 1]]
+                    theirs = np.concatenate([flat[cut[i] : cut[i + 1]] for i in y])
+                    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+                    y = y[both * 100 >= (size[y] + size[x] - both) * percent]
+                if len(y):
+                    joined, first = np.unique(label[y - low], return_index=True)
+                    a += [int(node[x])] * len(first)
+                    b += node[y[first]].tolist()
+                    label[np.isin(label, joined)] = label[x - low]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _compared(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """The linking pairs of rows(pack, group, i, j, part, node, root, n, marks[, shingles])."""
+    return rows.groupBy("pack", "i", "j").applyInArrow(_links(least, percent), "a long, b long")
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    roots = labels.select("node", F.col("root").alias("_root"))
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+
+
+def connect(members: DataFrame, payload: DataFrame, weight: str, cap: int, least: int, percent: int) -> DataFrame:
+    """The pairs that connect all members(group, node) of a group that can be linked in it.
+
+    payload(node, n, marks[, shingles]). A group is dealt in parts of at most about `cap`
+    by weight; small groups share a part. First each part is connected in itself, which is
+    all for a group of one part. Of larger groups a few speakers of each component then meet.
+    What still lies in several components is compared in full: large components in parts of
+    their own, which never meet each other, small ones together.
+    """
+    rows = staged(members.join(payload.select("node", F.col(weight).cast("long").alias("w")) if weight != "1" else payload.select("node", F.lit(1).cast("long").alias("w")), "node"))
+    sums = rows.groupBy("group").agg(F.sum("w").alias("total"))
+    parts = F.ceil(F.col("total") / cap).cast("int")
+    total = rows.agg(F.sum("w")).first()[0] or 0
+    packs = max(1, math.ceil(total / cap))
+    dealt = rows.join(sums.hint("merge"), "group").withColumn("parts", parts)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = staged(dealt.withColumn("pack", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.xxhash64("group", "part"))).drop("total", "w"))
+    inside = dealt.withColumns({"root": F.col("node"), "i": F.lit(0), "j": F.lit(0)})
+    found = checkpointed(_compared(inside.join(payload, "node"), least, percent))
+    large = dealt.filter("parts > 1").select("group", "node", "part")
+    if large.isEmpty():
+        return found
+    rows = _rooted(large, components(found))
+    speaks = Window.partitionBy("group", "part", "root").orderBy(F.xxhash64("node"))
+    meeting = rows.withColumn("rank", F.row_number().over(speaks)).filter(F.col("rank") <= SPEAKERS).drop("rank")
+    seats = meeting.groupBy("group").agg(F.ceil(F.count("*") / SIGNATURE_PART).cast("int").alias("seats"))
+    meeting = meeting.join(seats, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("seats")).cast("int"))
+    meeting = meeting.withColumns({"pack": F.xxhash64("group", "part"), "i": F.lit(0), "j": F.lit(0)}).drop("seats")
+    found = checkpointed(found.union(_compared(meeting.join(payload, "node"), least, percent)))
+    rows = _rooted(large, components(found)).join(payload.select("node", (F.col(weight) if weight != "1" else F.lit(1)).cast("long").alias("w")), "node")
+    # Several components in a group: blocks of large ones by themselves, of small ones together.
+    held = staged(rows.groupBy("group", "root").agg(F.sum("w").alias("held")))
+    mixed = held.groupBy("group").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("held") * 2 <= cap, F.col("held")).otherwise(0)).alias("rest")).filter("roots > 1")
+    rows = rows.join(mixed, "group").join(held, ["group", "root"])
+    own = F.col("held") * 2 > cap
+    block = F.when(own, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / cap)))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("rest") / cap))))
+    rows = staged(rows.select("group", "node", "root", block.alias("block"), F.when(own, F.col("root")).alias("single")))
+    blocks = rows.select("group", "block", "single").distinct()
+    other = blocks.select("group", F.col("block").alias("other"), F.col("single").alias("other_single"))
+    pairs = blocks.join(other, "group").filter("single IS NULL OR other_single IS NULL OR single <> other_single").select("group", "block", "other")
+    rows = rows.join(pairs, ["group", "block"]).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "part": F.pmod("block", F.lit(2147483647)).cast("int")})
+    rows = rows.withColumn("pack", F.xxhash64("group", "i", "j")).select("pack", "group", "i", "j", "part", "node", "root")
+    return checkpointed(found.union(_compared(rows.join(payload, "node"), least, percent)))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
     Two documents are linked if their sets of `words`-word shingles have a Jaccard
@@ -171,42 +238,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     set and is linked with nothing; one with fewer words than a shingle is one shingle. Rows
     that share a doc_id are one document. A null doc_id is linked with nothing and kept.
     """
+    return _components(docs, staged(sketch(docs, words, k)), words, percent, k)
+
+
+def _components(docs: DataFrame, rows: DataFrame, words: int, percent: int, k: int) -> DataFrame:
     least = agreement(k, percent / 100)
-    rows = staged(sketch(docs, words, k))
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, named by its smallest doc_id; copies are never paired with each other.
     classes = staged(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
-    postings = _postings(classes, k - least + 1)
-    shared = postings.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail").select("token", "head")
-    lists = staged(postings.join(shared, "token"))
-    wanted = lists.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id"), words))
-    join = _Join(classes, sets, least, percent)
-    # First, each list's documents with its smallest; then, where components still meet, with one chosen by hash.
-    join.add(lists.filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    mixed = join.placed(lists.select("token", "node"))
-    chosen = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "root")).alias("c"))
-    star = mixed.join(chosen, "token").filter("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    join.add(star)
-    # Whatever still lies in different components of one list is compared in full.
-    left = join.placed(mixed.select("token", "node"))
-    other = left.select("token", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    join.add(other.join(left, "token").filter("a < node AND root_a <> root").select("a", F.col("node").alias("b")).distinct())
-    # From classes to rows: a row may belong to the class of its set and, by its doc_id, to others.
-    named = classes.select("set_a", "set_b", F.col("node").alias("class")).join(join.labels.select(F.col("node").alias("class"), "root"), "class", "left")
+    postings = staged(_postings(classes, k, least))
+    heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail").select("token", "head")
+    lists = staged(postings.join(heads.hint("merge"), "token").select(F.col("token").alias("group"), "node"))
+    # Two bytes a coordinate: agreement on tokens is never undercounted.
+    marks = F.transform("tokens", lambda t: F.pmod(t, F.lit(32749)).cast("short"))
+    inside = lists.select("node").distinct()
+    signatures = staged(classes.join(inside, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), marks.alias("marks")))
+    # Lists give clusters of documents whose signatures agree; whole sets are compared inside a cluster only.
+    alike = components(connect(lists, signatures, "1", SIGNATURE_PART, least, percent))
+    clusters = alike.select(F.col("root").alias("group"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = staged(full_sets(by_ids(texts, clusters.select(F.col("node").alias("doc_id")))[0], words).withColumnRenamed("doc_id", "node"))
+    whole = staged(signatures.join(sets, "node").withColumn("n", F.size("shingles").cast("long")))
+    labels = components(connect(clusters, whole, "n", SET_PART, least, percent))
+    # From classes to rows.
+    named = classes.select("set_a", "set_b", F.col("node").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left")
     named = named.select("set_a", "set_b", F.coalesce("root", "class").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
-    """The rows of docs that stay: one document of each component, the one with the smallest doc_id.
+def by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows joined with the columns of ids, all other rows), by doc_id.
 
-    Of rows that repeat a doc_id and text one stays; rows without doc_id all stay.
+    A bitmap of fixed size, built from the ids and broadcast, passes over most rows before
+    the exact join, so that texts of other rows are not shuffled while ids are few.
     """
-    gone = near_duplicates(docs, words, percent, k).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    named, unnamed = kept.filter("doc_id IS NOT NULL"), kept.filter("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_BITS))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    bits = ids.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    rows = rows.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(staged(bits)), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    maybe, never = rows.filter(hit).drop("_slot", "_word", "_bits"), rows.filter(~hit).drop("_slot", "_word", "_bits")
+    found = maybe.join(ids.hint("merge"), "doc_id")
+    return found, never.unionByName(maybe.join(ids.select("doc_id").hint("merge"), "doc_id", "left_anti"))
+
 
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40) -> DataFrame:
+    """The rows of docs that stay: one document of each component, the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays, the one with the smallest text; rows without
+    doc_id all stay. Rows that are neither linked nor repeated are not shuffled.
+    """
+    rows = staged(sketch(docs, words, k))
+    gone = _components(docs, rows, words, percent, k).filter("NOT kept").select("doc_id", F.lit(True).alias("_gone"))
+    again = rows.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(False).alias("_gone"))
+    special = staged(gone.union(again).groupBy("doc_id").agg(F.max("_gone").alias("_gone")))
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    found, rest = by_ids(keyed, special)
+    one = found.filter("NOT _gone").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row")).select("_row.*")
+    return rest.select(*docs.columns).unionByName(one)
