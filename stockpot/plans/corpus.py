@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recipes import time_bucket
 from ..functions.text import tokens
-from ..operators.index import Index, attributes, corpus_stats, document_frequency, in_row_postings
+from ..operators.index import Index, attributes, corpus_stats, document_frequency, counted_postings
 
 #: Characters that count as one minute of the time facet.
 CHARS_A_MINUTE = 100
@@ -34,8 +34,12 @@ def attrs(meta: DataFrame) -> DataFrame:
     return attributes(meta, kinds)
 
 
-def index(docs: DataFrame) -> Index:
-    """The index of documents(doc_id, text, lang, source, n_chars), doc_id being unique."""
-    posts = in_row_postings(docs, F.col("text"))
+def index(docs: DataFrame, only: list[str] | None = None) -> Index:
+    """The index of documents(doc_id, text, lang, source, n_chars), doc_id being unique.
+
+    With `only`, postings and frequencies hold these terms alone: what a batch of queries
+    needs when it runs straight over texts. Metadata and statistics are the same either way.
+    """
+    posts = counted_postings(docs, F.col("text"), only=only)
     meta = docmeta(docs)
     return Index(posts, meta, attrs(meta), document_frequency(posts), corpus_stats(meta))

@@ -93,12 +93,12 @@ def postings_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_POSTS)
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.in_row_postings(_read(spark, d, "documents"), F.col("text")).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return index.counted_postings(_read(spark, d, "documents"), F.col("text")).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"SELECT term, count(*) AS df FROM ({_POSTS}) GROUP BY term")
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return index.document_frequency(index.in_row_postings(_read(spark, d, "documents"), F.col("text")))
+    return index.document_frequency(index.counted_postings(_read(spark, d, "documents"), F.col("text")))
 
 
 @query(f"SELECT count(*) AS doc_count, CAST(sum(doc_length) AS BIGINT) AS doc_len_sum, round(greatest(1.0::DOUBLE, avg(doc_length)), 6) AS avg_doc_length FROM ({_LENGTHS})")
@@ -130,15 +130,20 @@ def _batch_sql() -> str:
     return _bm25_sql(f"SELECT * FROM (VALUES {', '.join(terms)}) x(query_id, term)", f"SELECT * FROM (VALUES {', '.join(facets)}) y(query_id, attr_type, attr_key)", 20)
 
 
+def _ask(spark: SparkSession, d: str, asked: list[str]) -> DataFrame:
+    terms = sorted({t for q in asked for t in hybrid.parse(q).terms})
+    return hybrid.batch(spark, corpus.index(_read(spark, d, "documents"), terms), asked)
+
+
 @query(_batch_sql())
 def hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
-    found = hybrid.batch(spark, corpus.index(_read(spark, d, "documents")), BATCH)
+    found = _ask(spark, d, BATCH)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("SELECT 0 AS query_id, unnest(['the', 'and']) AS term", "SELECT 0 AS query_id, '' AS attr_type, '' AS attr_key WHERE false", 20))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = hybrid.batch(spark, corpus.index(_read(spark, d, "documents")), ["the and"])
+    found = _ask(spark, d, ["the and"])
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -150,7 +155,7 @@ def facet_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, 1.0::DOUBLE AS score FROM ({_ATTRS}) WHERE attr_type = 'timebucket' AND attr_key = 'le60' ORDER BY doc_id LIMIT 20")
 def facet_only(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.batch(spark, corpus.index(_read(spark, d, "documents")), ["under 45"]).select("doc_id", "score")
+    return _ask(spark, d, ["under 45"]).select("doc_id", "score")
 
 
 # n-grams
