@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, join_small, ordered_prefix, staged
 
+SEED = 17
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -25,6 +26,11 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), "b").otherwise(F.concat(F.lit("a"), source.cast("string")))
 
 
+def _random(seed: int, doc_id: Column) -> Column:
+    """The hash-random key of a row: hexadecimal, so that it sorts alike in any system."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
     """(key, source_size, source_before, target) for sizes(key, size).
 
@@ -83,10 +89,10 @@ def decide(rows: DataFrame, per: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, seed: int, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """rows(key, h, doc_id, size): h is random by seed and doc_id."""
-    return docs.select(_key(F.col(source)).alias("key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("h"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("size"))
+    return docs.select(_key(F.col(source)).alias("key"), _random(seed, F.col(doc_id)).alias("h"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("size"))
 
 
-def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 17) -> DataFrame:
+def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, epochs), one row per input row.
 
     A null text has size 0; a null source is a source and comes last; equal rows get equal
@@ -96,7 +102,7 @@ def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     return decide(rows, plan(rows, weights, share, most)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = SEED) -> DataFrame:
     """The mixed documents, with the columns of `docs` (doc_id, text, source and any others).
 
     A document is repeated once per epoch that takes it whole; the one on which a source's
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     per = plan(staged(keyed(docs, seed)), weights, share, most)
     names = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(F.col("source")).alias("key"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), F.col("doc_id"), words(F.col("text")).alias("size"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(F.col("source")).alias("key"), _random(seed, F.col("doc_id")).alias("h"), F.col("doc_id"), words(F.col("text")).alias("size"))
     done = decide(kept, per)
     whole = F.transform(F.sequence(F.lit(1), F.col("epochs").cast("int")), lambda _: F.col("size"))
     whole = F.when(F.col("epochs") > 0, whole).otherwise(F.array().cast("array<bigint>"))

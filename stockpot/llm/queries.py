@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, embdedup, langid, lm, minhash, mixing, packing, pii, secrets, toxicity
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,6 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.stockpot.pii.key", "stockpot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity, op6_lm, op7_language, op8_neighbours, op9_minhash, op10_embedding_dedup)}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-#: DuckDB SQL of the queries that SQL can express at this scale; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_pii, op4_packing, op5_toxicity, op6_lm, op7_language, op8_neighbours, op9_minhash, op10_embedding_dedup)}

@@ -27,7 +27,7 @@ CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Bits a character that a window must reach, by class of the whole candidate: hexadecimal, letters and digits, base64.
 THRESHOLDS = {"^[0-9a-fA-F]+$": 3.0, "^[A-Za-z0-9]+$": 3.6, "^[A-Za-z0-9+/_=-]+$": 3.8}
 #: A candidate that holds one of these is not a secret.
-ALLOWED = ("(?i)example|sample|placeholder|dummy|changeme|redacted|lorem|xxxx|https?/|www", "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "(?i)0123456|abcdefg", "(.)\\1{5}", "^[A-Za-z_/+=-]*$", "^[0-9_/+=-]*$", "^([A-Za-z]+|[0-9]+)([-_/]([A-Za-z]+|[0-9]+))*$")
+ALLOWED = ("(?i)example|sample|placeholder|dummy|changeme|redacted|lorem|xxxx|https?/|www", "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "(?i)0123456|abcdefg", "^[A-Za-z_/+=-]*$", "^[0-9_/+=-]*$", "^([A-Za-z]+|[0-9]+)([-_/]([A-Za-z]+|[0-9]+))*$")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
