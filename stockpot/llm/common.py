@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from ..shipping import ship
 #: Rows of a per-key side table up to which it is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 #: Rows in one Arrow batch, so that a batch of long texts fits a Python worker.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def release() -> None:
+    """Give memory that a batch needed back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(step):
+    """An Arrow step that releases memory whenever its input ends."""
+
+    def run(batches):
+        yield from step(batches)
+        release()
+
+    return run
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage and keep partitions and their order."""
     shared_dir(df.sparkSession)
@@ -97,7 +116,7 @@ def ordered_prefix(df: DataFrame, keys: list[str], values: list[str]) -> DataFra
                 columns.append(pa.array(ends - sizes))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[f"{v}_before" for v in values]])
 
-    return ranged.mapInArrow(run, schema).drop("_part")
+    return ranged.mapInArrow(released(run), schema).drop("_part")
 
 
 def join_small(rows: DataFrame, side: DataFrame, key: str, salts: int = 64) -> DataFrame:

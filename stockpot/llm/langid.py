@@ -38,7 +38,7 @@ class Model:
     least: np.ndarray  # cosine below which a language rejects
 
 
-def counts(texts: pa.Array, window: int = 1 << 20) -> np.ndarray:
+def counts(texts: pa.Array, window: int = 1 << 18) -> np.ndarray:
     """Counts of hashed 1-, 2- and 3-grams of bytes in each whole text; blanks alone don't count."""
     data, at = text_buffer(texts)
     out = np.zeros((len(texts), DIM), np.float64)

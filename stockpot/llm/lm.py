@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, staged
+from .common import checkpointed, released, small_batches, staged
 from .wordhash import word_hashes
 
 OUTPUTS, CLASSES, ORDER, SUFFIX = 256, 32, 3, 2
@@ -186,7 +186,7 @@ def _counted(rows: DataFrame, lookup: Lookup) -> DataFrame:
         some = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), _HEAD, np.int8)), pa.array(some), pa.array(dense[some]), pa.array(np.zeros(len(some), np.int8))], names=["kind", "word", "row", "tag"])
 
-    found = rows.select("row", "held_out", "text").mapInArrow(run, "kind tinyint, word long, row long, tag tinyint")
+    found = rows.select("row", "held_out", "text").mapInArrow(released(run), "kind tinyint, word long, row long, tag tinyint")
     together = Window.partitionBy("kind", "word")
     number = F.when(F.col("kind") == _HEAD, F.col("row")).otherwise((F.col("tag") % 2).cast("long"))
     found = found.withColumn("c", F.sum(number).over(together)).withColumn("nth", F.row_number().over(together.orderBy("row", "tag")))
@@ -244,15 +244,15 @@ def score(docs: DataFrame, sample: int = 6_000, held_out: tuple[int, int] = (7,
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 head = at >= 0
                 known = np.bincount(doc[head], n[at[head]] > 0, len(lengths))
-                base = np.bincount(doc[head], log_count[at[head]], len(lengths))
+                base = np.bincount(doc[head], log_count[at[head]], len(lengths)).astype(np.float64)
                 lm = m.log_probabilities(s, histories(s, lengths)) / np.log(10)
                 lm -= np.where(share >= 0, log_mass[share], 0)
                 inside = head & (share >= 0)
                 lm[inside] += log_count[at[inside]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("row"), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.bincount(doc, lm, len(lengths)))], names=["doc_id", "held_out", "row", "n_tokens", "head_known", "head_base", "head_lm"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("row"), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.bincount(doc, lm, len(lengths)).astype(np.float64))], names=["doc_id", "held_out", "row", "n_tokens", "head_known", "head_base", "head_lm"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = checkpointed(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, head_known long, head_base double, head_lm double"))
+    scored = checkpointed(rows.mapInArrow(released(run), f"doc_id {kind}, held_out boolean, row long, n_tokens long, head_known long, head_base double, head_lm double"))
     # Equal rows met in one sum: each takes its part of it.
     same = scored.groupBy("row").count()
     sums = counted.filter("kind = 0").select(F.col("key").alias("row"), "s", "known").join(same, "row").select("row", (F.col("s") / F.col("count")).alias("s"), F.expr("known div count").alias("known"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, staged
+from .common import checkpointed, release, released, small_batches, staged
 from .components import components
 from .wordhash import mix, word_hashes
 
@@ -87,7 +87,7 @@ def sketch(docs: DataFrame, n: int, k: int) -> DataFrame:
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -101,7 +101,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, shingles array<long>")
 
 
 def _postings(classes: DataFrame, k: int, least: int) -> DataFrame:
@@ -169,6 +169,7 @@ def _links(least: int, percent: int):
                     a += [int(node[x])] * len(first)
                     b += node[y[first]].tolist()
                     label[np.isin(label, joined)] = label[x - low]
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -197,7 +198,7 @@ def connect(members: DataFrame, payload: DataFrame, weight: str, cap: int, least
     sums = rows.groupBy("group").agg(F.sum("w").alias("total"))
     parts = F.ceil(F.col("total") / cap).cast("int")
     total = rows.agg(F.sum("w")).first()[0] or 0
-    packs = max(1, math.ceil(total / cap))
+    packs = max(1, math.ceil(total * 8 / cap))  # small groups are dealt finer, for more tasks
     dealt = rows.join(sums.hint("merge"), "group").withColumn("parts", parts)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = staged(dealt.withColumn("pack", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.xxhash64("group", "part"))).drop("total", "w"))

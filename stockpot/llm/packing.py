@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ordered_prefix, small_batches, staged
+from .common import ordered_prefix, released, small_batches, staged
 
 #: Texts with other characters than these, or longer ones, go to the slower encoder.
 _PLAIN = 0x250
@@ -111,9 +112,7 @@ def _encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    spec = json.load(open(path))  # noqa: SIM115
+    spec = json.loads(Path(path).read_text())
     # The same ranks as a byte table: the file's alphabet maps printable characters to bytes.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -121,11 +120,15 @@ def _encoder(path: str):
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    others: list[Tokenizer] = []  # loaded when a text needs it
 
     def encode(text: str) -> list[int]:
         if len(text) <= _LONG and (text.isascii() or ord(max(text)) < _PLAIN):
             return fast.encode_ordinary(text)
-        return slow.encode(text, add_special_tokens=False).ids
+        if not others:
+            others.append(Tokenizer.from_file(path))
+            others[0].encode_special_tokens = True
+        return others[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -155,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, en
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end: int = 1, bin_width: int = 16, depth: int = 3) -> DataFrame:
@@ -200,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end:
                 place[rows] = slot[j] + at % m[j]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")], pa.array(sequence_id), pa.array(place)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place"])
 
-    placed = ranked.mapInArrow(run, schema)
+    placed = ranked.mapInArrow(released(run), schema)
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

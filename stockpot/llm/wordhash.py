@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; temporaries take about 40 times as much.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
