@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, small_batches
+from .common import join_small, release, small_batches, staged
 from .wordhash import text_buffer
 
 UNKNOWN = "und"
@@ -71,12 +71,12 @@ def _vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.sqrt(tf) * idf)
 
 
-def train(texts: list[str], langs: list[str], clusters: int = 3, rounds: int = 8, quantile: float = 0.005, seed: int = 3) -> Model:
+def train(texts: pa.Array, langs: list[str], clusters: int = 3, rounds: int = 8, quantile: float = 0.005, seed: int = 3) -> Model:
     """Centroids by spherical k-means inside each language; distances for rejection by quantile."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], int)
-    tf = np.concatenate([counts(pa.array(texts[i : i + 256], pa.large_string())).astype(np.float32) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, DIM), np.float32)
+    tf = np.concatenate([counts(texts.slice(i, 256)).astype(np.float32) for i in range(0, len(texts), 256)]) if len(texts) else np.zeros((0, DIM), np.float32)
     idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1
     x = _vectors(tf, idf).astype(np.float32)
     centroids, owner, least = [], [], []
@@ -92,18 +92,25 @@ def train(texts: list[str], langs: list[str], clusters: int = 3, rounds: int = 8
     return Model(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIM)), np.array(owner, int), np.array(least))
 
 
-def fit(docs: DataFrame, per_language: int = 1_200, most_languages: int = 400, held_out: tuple[int, int] = (5, 0)) -> Model:
-    """Train on about `per_language` texts of each language, taken in hash order from those not held out.
+def fit(docs: DataFrame, per_language: int = 1_200, most: int = 12_000, held_out: tuple[int, int] = (5, 0)) -> Model:
+    """Train on about `per_language` texts of each language and at most `most` in all, from rows not held out.
 
     Languages are counted first; each keeps the rows whose hash falls under its share, so a
-    rare language keeps all of its rows. At most per_language * most_languages texts are read.
+    rare language keeps all of its rows. Ids are chosen before texts are read: the texts are
+    filtered where they lie by a broadcast of at most `most` ids.
     """
     part, rest = held_out
     rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % part != rest))
-    share = rows.groupBy("lang").count().select("lang", (F.lit(1e6 * per_language) / F.col("count")).alias("share"))
-    ids = join_small(rows, share, "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share")).orderBy("h").limit(per_language * most_languages).select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
-    found = docs.filter("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").filter("lang = _lang").orderBy("h", "text").limit(per_language * most_languages).select("text", "lang").collect()
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    counts_of = staged(rows.groupBy("lang").count())
+    each = min(per_language, most // max(1, counts_of.count()))
+    share = counts_of.select("lang", (F.lit(1e6 * each) / F.col("count")).alias("share"))
+    ids = join_small(rows, share, "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share")).orderBy("h").limit(most).select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").filter("lang = _lang")
+    got = texts.orderBy("h", "text").limit(most).select("text", "lang").toArrow()
+    model = train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["lang"].to_pylist())
+    del got
+    release()
+    return model
 
 
 def _any_letter(texts: pa.Array) -> np.ndarray:
