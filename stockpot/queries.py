@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import html, ids, recipes, text, urls
 from .functions.porter import stem_column
-from .operators import frontier, index, mapreduce, ngrams, ranking, spell, stats
+from .operators import enrich, frontier, index, mapreduce, ngrams, ranking, spell, stats
 from .plans import corpus, crawl, hybrid
 from .sources import sitemaps, store, tables, web
 from .streaming import grams as gram_stream
@@ -525,3 +525,112 @@ def stream_gram_merge(spark: SparkSession, d: str) -> DataFrame:
     gram_stream.start_merge(stream, f"{base}/index", f"{base}/checkpoint", key="item_id").awaitTermination()
     return gram_stream.read_index(spark, f"{base}/index", "item_id").select("item_id", "gram", "freq")
 
+
+
+# single operators of the text, page and recipe chains
+
+
+@query(f"SELECT item_id, term, p AS position FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT item_id, {_sql_words(least=2)} AS t FROM benchmark))")
+def token_positions(spark: SparkSession, d: str) -> DataFrame:
+    return text.positions([F.col("text")], _read(spark, d, "benchmark"), "item_id").select("item_id", "term", "position")
+
+
+@query(f"SELECT item_id, word, p AS position FROM (SELECT item_id, unnest(t) AS word, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT item_id, {_sql_runs()} AS t FROM benchmark)) WHERE word NOT IN ({_STOP})")
+def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.words(_read(spark, d, "benchmark"), ngrams.stopwords(spark), key="item_id", stem=False).select("item_id", "word", "position")
+
+
+@query(f"SELECT item_id, w[i] || ' ' || w[i + 1] AS gram, count(*) AS freq FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT item_id, {_sql_runs()} AS w FROM benchmark)) GROUP BY ALL")
+def bigrams(spark: SparkSession, d: str) -> DataFrame:
+    found = ngrams.in_row_grams(_read(spark, d, "benchmark"), [], key="item_id", longest=2)
+    return found.filter(F.contains("gram", F.lit(" ")))
+
+
+@query("SELECT page_id, (page_id % 90)::INTEGER AS minutes, CASE WHEN page_id % 2 = 0 THEN (page_id % 90)::INTEGER END AS none_without_unit FROM pages")
+def body_minutes(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("page_id") % 90).cast("string")
+    full = F.concat(F.lit("text Prep  Time : "), n, F.lit(" minutes, total time 999 min"))
+    other = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("COOK TIME "), n, F.lit("min"))).otherwise(F.concat(F.lit("cook time "), n, F.lit(" hours")))
+    return _read(spark, d, "pages").select("page_id", html.body_minutes(full).alias("minutes"), html.body_minutes(other).alias("none_without_unit"))
+
+
+@query("SELECT doc_id, regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g') AS token FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def tag_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    return rows.select("doc_id", F.regexp_replace(F.lower(F.concat_ws("-", "source", "lang")), "[^a-z0-9]", "").alias("token"))
+
+
+@query(_edits_sql().split("df AS (")[0].rstrip().rstrip(",") + " SELECT token, term FROM e")
+def edit_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(t, e) for t in _TYPOS for e in spell.edits(t)], "token string, term string")
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(({_sql_words()})[1:{enrich.TAG_CAP}])), ',') AS tags FROM documents")
+def tag_cap(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(enrich.tag_list(text.words(F.col("text")))), ",").alias("tags"))
+
+
+@query(f"SELECT doc_id, round(CASE WHEN n > 0 THEN [0.95, 0.95, 0.85, 0.75, 0.95, 0.75][doc_id % 6 + 1]::DOUBLE ELSE 0 END, 6) AS confidence FROM (SELECT doc_id, len(({_sql_words()})[1:4]) AS n FROM documents)")
+def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = recipes.normalise(_records(spark, d))
+    number = F.regexp_extract("source_url", "[0-9]+", 0).cast("long").alias("doc_id")
+    return rows.select(number, F.round(F.col("extraction_confidence")["ingredients"], 6).alias("confidence"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def last_patch(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "events").withColumn("raw", F.concat(F.lit(" "), F.upper("event_type"), F.lit("/"), F.col("user_id").cast("string")))
+    return enrich.ranked_patches(rows, "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT 'recipes' AS table_name, count(*) AS row_count FROM documents UNION ALL SELECT 'recipe_extraction_meta', count(*) FROM documents")
+def replaced_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes written once and then again under other ids: rows are replaced, children go along."""
+    rows = recipes.normalise(_records(spark, d))
+    again = rows.withColumn("recipe_id", F.concat(F.lit("new-"), F.col("recipe_id")))
+    out = tables.replaced(tables.relational(rows), tables.relational(again))
+    return tables.row_counts({n: out[n] for n in ("recipes", "recipe_extraction_meta")})
+
+
+@query("SELECT DISTINCT user_id AS key FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND user_id IN (SELECT o_custkey FROM orders)")
+def set_intersection(spark: SparkSession, d: str) -> DataFrame:
+    sides = [_read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("key")), _read(spark, d, "orders").select(F.col("o_custkey").alias("key"))]
+    out = _read(spark, d, "events").select(F.col("user_id").alias("key")).distinct()
+    for side in sides:
+        out = out.join(side, "key", "left_semi")
+    return out
+
+
+@query("SELECT 'https://www.food.com/recipe/' || (page_id * 3 + i) AS url FROM pages, (SELECT unnest(range(0, 3)) AS i) WHERE i < 2")
+def seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds through robots, an index of sitemaps and the URL policy; every third URL is of another kind."""
+    pages = _read(spark, d, "pages").select("page_id", F.concat(F.lit("https://s/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("map"))
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("<loc>https://www.food.com/"), F.when(i < 2, "recipe/").otherwise("about/"), (F.col("page_id") * 3 + i).cast("string"), F.lit("</loc>")))
+    maps = pages.select(F.col("map").alias("url"), F.concat(F.lit("<urlset>"), F.array_join(kinds, ""), F.lit("</urlset>")).alias("html"))
+    listed = pages.withColumn("root", F.concat(F.lit("https://s/root"), (F.col("page_id") % 4).cast("string"))).groupBy("root").agg(F.collect_list(F.concat(F.lit("<loc>"), F.col("map"), F.lit("</loc>"))).alias("l"))
+    roots = listed.select(F.col("root").alias("url"), F.concat(F.lit("<sitemapindex >"), F.array_join("l", " "), F.lit("</sitemapindex>")).alias("html"))
+    robots = spark.createDataFrame([("\n".join(f"Sitemap: https://s/root{i}" for i in range(4)),)], "body string")
+    return sitemaps.seeds(robots, web.from_table(maps.union(roots)), urls.policy("multisite"))
+
+
+@query(f"SELECT 'doc:' || doc_id AS source_url, NOT regexp_matches(lower(text), '{'|'.join(k for ks in recipes.APPLIANCES.values() for k in ks)}') AS asks_appliances FROM documents WHERE text IS NOT NULL")
+def needed_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Which canonical recipes an enrichment would ask about, here for the appliance field."""
+    rows = recipes.normalise(_records(spark, d).filter("text IS NOT NULL"))
+    return rows.select("source_url", F.array_contains(enrich.needed_fields(rows), "appliance_tags").alias("asks_appliances"))
+
+
+@query()
+def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The parser over conversation turns of users taken as queries."""
+    turns = _read(spark, d, "conversations").filter("role = 'user'")
+
+    def parse(batch):
+        import pyarrow as pa
+
+        return pa.array([" ".join(hybrid.parse(q).terms) for q in batch.to_pylist()])
+
+    from .shipping import ship
+
+    ship(spark)
+    return turns.select("conv_id", "turn", F.arrow_udf(parse, "string")("text").alias("terms"))
