@@ -25,15 +25,12 @@ def postings(docs: DataFrame, sections: list[Column], key: str = "doc_id") -> Da
     return every.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def counted_postings(docs: DataFrame, text: Column, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """(term, key, tf) without positions, for keys that don't repeat; `only` keeps these terms.
+def counted_postings(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
+    """(term, key, tf) without positions, for keys that don't repeat.
 
     A document's tokens are counted by the task that reads it, so one row a posting is shuffled.
     """
-    found = tokens(text)
-    if only is not None:
-        found = F.filter(found, lambda t: t.isin(*only)) if only else F.array().cast("array<string>")
-    return docs.select(key, F.explode(found).alias("term")).groupBy("term", key).agg(F.count("*").cast("int").alias("tf"))
+    return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy("term", key).agg(F.count("*").cast("int").alias("tf"))
 
 
 def document_frequency(posts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .index import Index
@@ -37,26 +37,25 @@ def search(index: Index, terms: DataFrame, facets: DataFrame, limits: DataFrame)
     so only matching postings are shuffled.
     """
     key = "doc_id"
-    candidates = facet_candidates(index.attrs, facets, ["query_id"])
-    asked = F.broadcast(terms.distinct())
-    found = index.postings.select("term", key, "tf").join(asked, "term")
-    faceted = facets.select("query_id").distinct().withColumn("_faceted", F.lit(True))
-    found = found.join(F.broadcast(faceted), "query_id", "left")
-    inside = found.filter("_faceted").join(candidates, ["query_id", key], "left_semi")
-    found = found.filter("_faceted IS NULL").unionByName(inside).drop("_faceted")
-    found = found.join(F.broadcast(index.df.join(F.broadcast(terms.select("term").distinct()), "term")), "term", "left")
+    terms, facets = terms.distinct(), facets.distinct()
+    found = index.postings.select("term", key, "tf").join(F.broadcast(terms), "term")
+    df = index.df.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    found = found.join(F.broadcast(df), "term", "left")
+    flat = None
+    if not facets.isEmpty():
+        candidates = facet_candidates(index.attrs, facets, ["query_id"]).withColumn("_in", F.lit(True))
+        faceted = facets.select("query_id").distinct().withColumn("_faceted", F.lit(True))
+        found = found.join(F.broadcast(faceted), "query_id", "left").join(candidates, ["query_id", key], "left")
+        found = found.filter("_faceted IS NULL OR _in").drop("_faceted", "_in")
+        flat = candidates.join(F.broadcast(terms.select("query_id").distinct()), "query_id", "left_anti").select("query_id", key, F.lit(1.0).alias("score"))
     found = found.join(index.docmeta.select(key, "doc_length"), key, "left").crossJoin(F.broadcast(index.stats.select("doc_count", "avg_doc_length")))
     value = bm25(F.col("tf"), F.coalesce("df", F.lit(0)), F.col("doc_count"), F.coalesce("doc_length", F.lit(1)), F.col("avg_doc_length"))
     scored = found.groupBy("query_id", key).agg(F.sum(value).alias("score"))
-    texted = terms.select("query_id").distinct()
-    flat = candidates.join(F.broadcast(texted), "query_id", "left_anti").withColumn("score", F.lit(1.0))
-    return top_k(scored.unionByName(flat), limits, key)
+    return top_k(scored if flat is None else scored.unionByName(flat), limits, key)
 
 
 def top_k(scored: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first `top` (at least 1) rows of each query by score and then key."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     out = scored.join(F.broadcast(limits), "query_id").withColumn("rank", rank)
     return out.filter(F.col("rank") <= F.greatest(F.lit(1), F.col("top"))).select("query_id", "rank", key, "score")

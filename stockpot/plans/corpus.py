@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recipes import time_bucket
 from ..functions.text import tokens
+from ..lineage import cut
 from ..operators.index import Index, attributes, corpus_stats, document_frequency, counted_postings
 
 #: Characters that count as one minute of the time facet.
@@ -34,12 +35,24 @@ def attrs(meta: DataFrame) -> DataFrame:
     return attributes(meta, kinds)
 
 
-def index(docs: DataFrame, only: list[str] | None = None) -> Index:
-    """The index of documents(doc_id, text, lang, source, n_chars), doc_id being unique.
+def index(docs: DataFrame) -> Index:
+    """The index of documents(doc_id, text, lang, source, n_chars), doc_id being unique."""
+    posts = counted_postings(docs, F.col("text"))
+    meta = docmeta(docs)
+    return Index(posts, meta, attrs(meta), document_frequency(posts), corpus_stats(meta))
+
 
-    With `only`, postings and frequencies hold these terms alone: what a batch of queries
-    needs when it runs straight over texts. Metadata and statistics are the same either way.
+def index_for(docs: DataFrame, terms: list[str]) -> Index:
+    """What a batch of queries over these terms needs, straight from texts.
+
+    One pass over the texts leaves each document's length and its tokens among the terms;
+    postings, frequencies, facets and statistics all come from that checkpoint.
     """
-    posts = counted_postings(docs, F.col("text"), only=only)
-    meta = docmeta(docs)
+    found = tokens(F.col("text"))
+    hits = F.filter(found, lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    minutes = F.expr(f"cast(n_chars div {CHARS_A_MINUTE} as int)")
+    base = docs.select("doc_id", F.array("lang").alias("dietary_tags"), F.array("source").alias("appliance_tags"), minutes.alias("total_minutes"), F.size(F.array_distinct(found)).cast("long").alias("doc_length"), hits.alias("hits"))
+    base = cut(base)
+    posts = base.select("doc_id", F.explode("hits").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    meta = base.drop("hits")
     return Index(posts, meta, attrs(meta), document_frequency(posts), corpus_stats(meta))

@@ -132,7 +132,7 @@ def _batch_sql() -> str:
 
 def _ask(spark: SparkSession, d: str, asked: list[str]) -> DataFrame:
     terms = sorted({t for q in asked for t in hybrid.parse(q).terms})
-    return hybrid.batch(spark, corpus.index(_read(spark, d, "documents"), terms), asked)
+    return hybrid.batch(spark, corpus.index_for(_read(spark, d, "documents"), terms), asked)
 
 
 @query(_batch_sql())
