@@ -119,6 +119,18 @@ def ordered_prefix(df: DataFrame, keys: list[str], values: list[str]) -> DataFra
     return ranged.mapInArrow(released(run), schema).drop("_part")
 
 
+def hash_sample(rows: DataFrame, h: str, most: int) -> DataFrame:
+    """(h): at most `most` distinct values of a hash column, the same for the same rows.
+
+    Rows are first thinned by their hash to a little more than `most` in expectation, so
+    that neither a task nor the driver gets more than that, however many tasks there are.
+    """
+    n = max(1, rows.count())
+    share = min(1.0, (most + 6 * most**0.5) / n)
+    few = rows.select(h).filter(F.pmod(h, F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))) if share < 1 else rows.select(h)
+    return few.distinct().orderBy(h).limit(most)
+
+
 def join_small(rows: DataFrame, side: DataFrame, key: str, salts: int = 64) -> DataFrame:
     """Left join of many rows with a table of one row per non-null key.
 

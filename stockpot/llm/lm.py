@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, released, small_batches, staged
+from .common import checkpointed, hash_sample, released, small_batches, staged
 from .wordhash import word_hashes
 
 OUTPUTS, CLASSES, ORDER, SUFFIX = 256, 32, 3, 2
@@ -146,7 +146,10 @@ def _rows(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
 
 
 def _sample(rows: DataFrame, most: int) -> pa.Array:
-    got = rows.filter("NOT held_out").select("row", "text").orderBy("row").limit(most).toArrow()
+    """Texts of at most `most` training rows in hash order: hashes are chosen first, texts filtered where they lie."""
+    train_rows = rows.filter("NOT held_out").select("row", "text")
+    ids = hash_sample(train_rows, "row", most)
+    got = train_rows.join(F.broadcast(ids), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text")).toArrow().sort_by("row")
     return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
 
 
