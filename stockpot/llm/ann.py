@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import hash_sample, small_batches, staged
 from .vectors import common_length, matrix, unit, usable
 
 #: Vectors of one block and queries of one chunk: what meets in one group.
@@ -76,7 +76,9 @@ def _cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 def fit_books(rows: DataFrame, sample: int = 8_192, centroids: int = 32, rounds: int = 8, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Codebooks of both halves from at most `sample` vectors in hash order."""
-    got = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    hashed = rows.select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
+    chosen = hashed.join(F.broadcast(hash_sample(hashed, "h", sample)), "h", "left_semi")
+    got = chosen.groupBy("h").agg(F.first("embedding").alias("embedding")).toArrow().sort_by("h")
     rng = np.random.default_rng(seed)
     x = unit(matrix(got["embedding"].combine_chunks()))
     return tuple(_kmeans(h, centroids, rounds, rng) for h in _halves(x))
