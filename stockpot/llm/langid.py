@@ -106,7 +106,7 @@ def fit(docs: DataFrame, per_language: int = 1_200, most: int = 12_000, held_out
     share = counts_of.select("lang", (F.lit(1e6 * each) / F.col("count")).alias("share"))
     ids = join_small(rows, share, "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share")).orderBy("h").limit(most).select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
     texts = docs.filter("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").filter("lang = _lang")
-    got = texts.orderBy("h", "text").limit(most).select("text", "lang").toArrow()
+    got = texts.groupBy("h", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     model = train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["lang"].to_pylist())
     del got
     release()
