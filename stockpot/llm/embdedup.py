@@ -67,7 +67,7 @@ def _hashed(classes: DataFrame, k: int, tables: int, width: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("embedding"), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], names=["node", "copies", "embedding", "keys"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.select("node", "copies", F.col("label").cast("long").alias("label"), F.size("embedding").alias("size"), "embedding").mapInArrow(run, f"node long, copies long, embedding {kind}, keys array<long>")
+    return classes.select("node", "copies", F.xxhash64("label").alias("label"), F.size("embedding").alias("size"), "embedding").mapInArrow(run, f"node long, copies long, embedding {kind}, keys array<long>")
 
 
 def _compare(cosine: float):

@@ -68,7 +68,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
                        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")))
     ordered = ordered_prefix(rows, ["key", "h", "doc_id", "size"], ["size"])
     placed = join_small(ordered, per.select("key", "source_before", "rest"), "key").withColumn("before", F.col("size_before") - F.col("source_before"))
-    cut = placed.filter("before < rest AND before + size > rest").groupBy("key").agg(F.min(F.struct("before", "h", "doc_id", "size")).alias("cut"))
+    cut = placed.filter("before < rest AND before + size >= rest").groupBy("key").agg(F.min(F.struct("before", "h", "doc_id", "size")).alias("cut"))
     cut = checkpointed(cut.select("key", F.col("cut.h").alias("cut_h"), F.col("cut.doc_id").alias("cut_doc"), F.col("cut.size").alias("cut_size")))
     same = (F.col("h") == F.col("cut_h")) & F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("size") == F.col("cut_size"))
     ties = join_small(placed, cut, "key").filter(same).groupBy("key").agg(F.min("before").alias("cut_before"), F.count("*").alias("cut_rows"))
