@@ -89,6 +89,10 @@ class Index:
         document_frequency(stored).write.mode("overwrite").parquet(f"{folder}/df")
         corpus_stats(spark.read.parquet(f"{folder}/docmeta")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
 
+    def cached(self) -> Index:
+        """The same index held in executor memory (spilling to disk): for a session of many queries."""
+        return Index(*[t.cache() for t in (self.postings, self.docmeta, self.attrs, self.df, self.stats)])
+
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Index:
         return cls(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "docmeta", "attrs", "df", "stats")])
