@@ -141,6 +141,29 @@ def test_tail_words_meet_by_shuffle(spark, data, monkeypatch):
     check_lm(docs)
 
 
+def test_lm_learns_from_all_training_rows(spark, data, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 5_000)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    scores = lambda d, sample: {r["doc_id"]: r["score"] for r in lm.score(d, sample=sample).collect()}
+    whole = scores(docs, 6_000)
+    assert scores(docs.repartition(3), 5) == pytest.approx(whole, rel=1e-9)
+
+
+def test_pieces_hold_every_training_position_once(spark):
+    rows = spark.createDataFrame([(1, False, "a b c d e f g h i j k l m n o p"), (2, False, ""), (3, True, "x"), (4, False, "a b c")], "row long, held_out boolean, text string")
+
+    def symbols_of(texts):
+        words = [len(t.split()) + 1 for t in texts.to_pylist()]
+        return np.concatenate([np.arange(n) for n in words]), np.array(words)
+
+    pieces = {(r["row"], r["piece"]): list(r["symbols"]) for r in lm._pieces(rows, 3, symbols_of, 7).collect()}
+    assert pieces == {(1, 0): [*range(7)], (1, 1): [*range(4, 14)], (1, 2): [*range(11, 17)], (2, 0): [0], (4, 0): [*range(4)]}
+    u = np.full(lm.OUTPUTS, 1 / lm.OUTPUTS)
+    p = lm.start(u)
+    moved = lm.learn(p, u, np.array([4, 5, 6, 7]), np.array([4]), np.array([3]))
+    assert (moved["q"] != p["q"].astype(np.float32)).any(1)[7] and not np.allclose(moved["b"][7], p["b"][7])
+
+
 def test_lm_odd_rows(odd, empty):
     check_lm(odd)
     assert lm.score(empty).count() == 0
