@@ -18,7 +18,7 @@ PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])",
-    "date": "(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])|(?<![0-9A-Za-z./-])(?:[0-9]{1,2}\\.[0-9]{1,2}\\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9A-Za-z/-])",
+    "date": "(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Za-z-]|T(?![0-9]))|(?<![0-9A-Za-z./-])(?:[0-9]{1,2}\\.[0-9]{1,2}\\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9A-Za-z/-])",
     "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": "(?<![0-9A-Za-z+])[0-9](?:[\\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": "(?<![0-9A-Za-z+])\\+[0-9]{1,3}[\\x20.-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[\\x20.-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+(])(?:\\([0-9]{3}\\)\\x20?|[0-9]{3}[\\x20.-])[0-9]{3}[\\x20.-][0-9]{4}(?![0-9A-Za-z])",
@@ -208,6 +208,29 @@ def _kind(m: Column) -> Column:
     return found
 
 
+def _inside(m: Column) -> Column:
+    """array<struct<kind, value>>: a match that failed its check, cut around the first, then longest card or IBAN made of whole groups in it."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.reverse(F.filter(ends, lambda b: b - a >= 12)), lambda b: F.struct(a.alias("a"), F.substring(m, a, b - a + 1).alias("value")))))
+
+    def kind(v: Column) -> Column:
+        found = F.lit(-1)
+        for k in ("card", "iban"):
+            found = F.when(F.when(F.rlike(v, F.lit(f"^(?:{PATTERNS[k]})$")), _VALID[k](v)).otherwise(F.lit(False)), F.lit(KINDS.index(k))).otherwise(found)
+        return found
+
+    part = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
+    whole = F.array(part(F.lit(-1), m))
+
+    def cut(hit: Column) -> Column:
+        after = F.substring(m, hit["a"] + F.length(hit["value"]), F.length(m))
+        return F.array(part(F.lit(-1), F.substring(m, F.lit(1), hit["a"] - 1)), part(hit["kind"], hit["value"]), part(F.lit(-1), after))
+
+    tried = F.filter(F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["value"].alias("value"), kind(s["value"]).alias("kind"))), lambda s: s["kind"] >= 0)
+    return _let(tried, lambda t: F.when(F.size(t) > 0, cut(F.try_element_at(t, F.lit(1)))).otherwise(whole))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in `text` and add n_<kind>, the number of values replaced, per kind.
 
@@ -217,7 +240,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     column = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("_found", F.regexp_extract_all(column, F.lit(ANY), F.lit(0)))
-    step = step.withColumn("_found", F.transform("_found", lambda m: F.struct(_kind(m).alias("kind"), m.alias("value"))))
+    each = lambda m: _let(_kind(m), lambda k: F.when((k >= 0) | (F.length(m) < 13), F.array(F.struct(k.alias("kind"), m.alias("value")))).otherwise(_inside(m)))
+    step = step.withColumn("_parts", F.transform("_found", each)).withColumn("_found", F.flatten("_parts"))
 
     def new(p: Column) -> Column:
         out = p["value"]
@@ -226,9 +250,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return out
 
     gaps = F.split(column, ANY, -1)
-    rebuilt = F.concat_ws("", F.flatten(F.zip_with(gaps, F.transform("_found", new), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))))
+    rebuilt = F.concat_ws("", F.flatten(F.zip_with(gaps, F.transform("_parts", lambda p: F.concat_ws("", F.transform(p, new))), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))))
     counts = {f"n_{k}": _count(i) for i, k in enumerate(KINDS)}
-    return step.withColumns({text: F.when(F.exists("_found", lambda p: p["kind"] >= 0), rebuilt).otherwise(F.col(text)), **counts}).drop("_found")
+    return step.withColumns({text: F.when(F.exists("_found", lambda p: p["kind"] >= 0), rebuilt).otherwise(F.col(text)), **counts}).drop("_found", "_parts")
 
 
 def _count(i: int) -> Column:

@@ -116,6 +116,14 @@ def test_formats_stay_valid_and_linked(spark):
     assert {k: v for k, v in new[0].items() if k.startswith("n_")} == {"n_email": 1, "n_iban": 1, "n_ip": 1, "n_date": 2, "n_ssn": 1, "n_card": 2, "n_phone": 1}
 
 
+def test_values_beside_other_groups_are_found(spark):
+    texts = ["pay 4111 1111 1111 1111 12/26", "order 12 4111 1111 1111 1111", "4111 1111 1111 1111 123", "GB82 WEST 1234 5698 7654 32 CODE x", "2024-05-01T10:00:00Z"]
+    new = hidden(spark, texts)
+    assert [[r["n_card"], r["n_iban"], r["n_date"]] for r in new] == [[1, 0, 0]] * 3 + [[0, 1, 0], [0, 0, 1]]
+    assert all("4111 1111 1111 1111" not in r["text"] and "WEST" not in r["text"] for r in new)
+    assert new[0]["text"].endswith(" 12/26") and new[1]["text"].startswith("order 12 ") and new[2]["text"].endswith(" 123") and new[3]["text"].endswith(" CODE x") and new[4]["text"].endswith("T10:00:00Z")
+
+
 def test_key_matters_and_clean_texts_stay(spark):
     clean = ["no data in here, 12 cups and 3.5 spoons", "version 1.2.3 of 99-1", "", None]
     assert [r["text"] for r in hidden(spark, clean)] == clean
