@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import ordered_prefix, released, small_batches, staged
 
-#: Texts with other characters than these, or longer ones, go to the slower encoder.
+#: Texts with other characters than these, or longer ones, go to the slower encoder; the ids are the same.
 _PLAIN = 0x250
-_LONG = 200_000
+LONG = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -106,7 +106,12 @@ def solve(histogram: np.ndarray, depth: int = 3) -> list[tuple[tuple[int, ...],
 
 
 def _encoder(path: str):
-    """A function from texts to lists of ids of the tokenizers file, without special tokens."""
+    """A function from texts to lists of ids: those of the tokenizers file without special tokens added.
+
+    Added tokens that stand in a text keep their own ids, as the tokenizers library gives them.
+    Latin texts up to LONG characters go to a faster library with the same vocabulary, all others,
+    and those that hold an added token, to the tokenizers library.
+    """
     import json
 
     import tiktoken
@@ -116,18 +121,17 @@ def _encoder(path: str):
     # The same ranks as a byte table: the file's alphabet maps printable characters to bytes.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     others: list[Tokenizer] = []  # loaded when a text needs it
 
     def encode(text: str) -> list[int]:
-        if len(text) <= _LONG and (text.isascii() or ord(max(text)) < _PLAIN):
+        if len(text) <= LONG and (text.isascii() or ord(max(text)) < _PLAIN) and not any(t in text for t in added):
             return fast.encode_ordinary(text)
         if not others:
             others.append(Tokenizer.from_file(path))
-            others[0].encode_special_tokens = True
         return others[0].encode(text, add_special_tokens=False).ids
 
     return encode

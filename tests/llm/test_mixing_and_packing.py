@@ -87,7 +87,6 @@ def encode(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
@@ -134,9 +133,9 @@ def test_fast_encoder_gives_the_same_ids():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     slow, fast = Tokenizer.from_file(path), packing._encoder(path)
-    slow.encode_special_tokens = True
     chars = [chr(i) for i in range(0x250)]
-    texts = [f"a{c}b {c} {c}{c}1{c}x  {c}\n{c}" for c in chars] + ["<|endoftext|> it's we'LL 12ab  \n\n x", "漢字 Ω", "".join(chars)]
+    texts = [f"a{c}b {c} {c}{c}1{c}x  {c}\n{c}" for c in chars] + ["<|endoftext|> it's we'LL 12ab  \n\n x", "漢字 Ω", "".join(chars), "ab <|endoftext|> cd", "<|endoftext|>" * 3, "wide words " * (packing.LONG // 10)]
+    assert fast("ab <|endoftext|> cd") == [397, 220, 50256, 22927]
     assert [fast(t) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
