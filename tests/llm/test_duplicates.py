@@ -202,6 +202,8 @@ def test_near_vectors_against_brute_force(spark):
 
 def test_large_bucket_is_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embdedup, "BLOCK", 20)
+    monkeypatch.setattr(embdedup, "SKETCHES", 30)
+    monkeypatch.setattr(embdedup, "SKETCH", 9)
     rng = np.random.default_rng(2)
     base = rng.normal(size=16)
     rows = [(i, [float(np.float32(x)) for x in base + rng.normal(0, 0.05 + 0.4 * (i % 3 == 0), 16)], 1) for i in range(150)]
@@ -220,3 +222,14 @@ def test_parameters_keep_recall():
         k, tables, width = embdedup.parameters(n, 0.93)
         near = embdedup.collision(np.sqrt(2 - 2 * 0.93), width) ** k
         assert (1 - near) ** tables <= embdedup.MISS
+
+
+def test_sketches_are_never_farther_apart_than_their_vectors():
+    rng = np.random.default_rng(2)
+    for dim in (3, 40, 200):
+        x = rng.normal(size=(300, dim))
+        x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.2])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = embdedup._sketches(x).astype(float)
+        far = np.sqrt(((s[:, None] - s[None]) ** 2).sum(2))
+        assert (far <= 127 * np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) + np.sqrt(s.shape[1]) + 1e-3).all()
