@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import join_small, partitions, released, small_batches, staged
 from .vectors import matrix, unit, usable
 
-#: Vectors of one block; queries for which a block is sent once.
-BLOCK, CHUNK = 8_192, 65_536
+#: Vectors of one block at most, and at least in a table with few of them; queries for which a block is sent once.
+BLOCK, SMALL_BLOCK, CHUNK = 8_192, 256, 65_536
 #: Centroids of a half: n ** 0.4 for n vectors, within these bounds; sampled vectors a centroid.
 CENTROIDS, SAMPLE = (32, 1_024), 64
 #: Share of the vectors whose cells a query visits.
@@ -126,7 +126,8 @@ def _in_cells(rows: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]],
 def build(rows: DataFrame) -> tuple[DataFrame, Index]:
     """(vec_id, embedding, cell) of all rows and the index; one count a length and a cell reaches the driver.
 
-    Small cells of one length share blocks of at most BLOCK vectors; a larger cell has several.
+    Small cells of one length share blocks; a larger cell has several. Blocks hold at most BLOCK
+    vectors, fewer where a table would otherwise give less than two blocks a task.
     """
     sizes = {r["n"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()}
     books = fit_books(rows, sizes)
@@ -137,14 +138,15 @@ def build(rows: DataFrame) -> tuple[DataFrame, Index]:
     counts = np.zeros(cells, np.int64)
     found = entries.groupBy("cell").count().toArrow()
     counts[found["cell"].to_numpy()] = found["count"].to_numpy()
-    first, parts, block, room, borders = np.zeros(cells, np.int64), np.maximum(1, -(-counts // BLOCK)), 0, BLOCK, set(base.values())
+    most = min(BLOCK, max(SMALL_BLOCK, int(counts.sum()) // (2 * partitions(rows.sparkSession))))
+    first, parts, block, room, borders = np.zeros(cells, np.int64), np.maximum(1, -(-counts // most)), 0, most, set(base.values())
     for cell, n in enumerate(counts.tolist()):
-        if room < BLOCK and (n > room or cell in borders):
-            block, room = block + 1, BLOCK
+        if room < most and (n > room or cell in borders):
+            block, room = block + 1, most
         first[cell] = block
         room -= n
         if parts[cell] > 1:
-            block, room = block + int(parts[cell]), BLOCK
+            block, room = block + int(parts[cell]), most
     return entries, Index(books, base, counts, first, parts)
 
 
