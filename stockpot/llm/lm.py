@@ -240,23 +240,27 @@ def _rows(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"held_out": held, "row": F.xxhash64("doc_id", "text")})
 
 
-def _sample(rows: DataFrame, most: int) -> pa.Array:
-    """Texts of at most `most` training rows in hash order: hashes are chosen first, texts filtered where they lie."""
+def _head(rows: DataFrame, most: int) -> tuple[Lookup, np.ndarray]:
+    """Words that occur more than once in `most` training rows, at most HEAD, and their classes.
+
+    Rows are chosen by hash and counted where they lie; only words and counts move.
+    """
     train_rows = rows.filter("NOT held_out").select("row", "text")
-    ids = hash_sample(train_rows, "row", most)
-    got = train_rows.join(F.broadcast(ids), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text")).toArrow().sort_by("row")
-    return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                hashes, _, parts = word_hashes(batch.column("text").slice(i, 128), suffix=SUFFIX)
+                words, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(_classes(parts[first])), pa.array(n.astype(np.int64))], names=["word", "class", "n"])
 
-def _head(texts: pa.Array) -> tuple[Lookup, np.ndarray]:
-    """Words that occur more than once in the sample, at most HEAD, and their classes."""
-    hashes, _, parts = word_hashes(texts, suffix=SUFFIX)
-    words, first, n = np.unique(hashes, return_index=True, return_counts=True)
-    order = np.lexsort((words, -n))
-    order = order[n[order] > 1][:HEAD]
-    lookup = Lookup.of(words[order])
-    known = dict(zip(words[order].tolist(), _classes(parts[first[order]]).tolist(), strict=True))
-    return lookup, np.array([known[w] for w in lookup.keys[:-1].tolist()], np.int64)
+    sample = train_rows.join(F.broadcast(hash_sample(train_rows, "row", most)), "row", "left_semi").select("text")
+    found = sample.mapInArrow(released(run), "word long, class long, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    got = found.filter("n > 1").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    words, classes = got["word"].to_numpy().view(np.uint64), got["class"].to_numpy()
+    lookup = Lookup.of(words)
+    order = np.argsort(words)
+    return lookup, classes[order][np.searchsorted(words[order], lookup.keys[:-1])]
 
 
 def _counted(rows: DataFrame, lookup: Lookup) -> DataFrame:
@@ -309,8 +313,7 @@ def score(docs: DataFrame, sample: int = 6_000, held_out: tuple[int, int] = (7,
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs, held_out)
-    texts = _sample(rows, sample)
-    lookup, classes = _head(texts)
+    lookup, classes = _head(rows, sample)
     counted = staged(_counted(rows, lookup))
     c = np.zeros(lookup.size, np.int64)
     tail_count, tail_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
