@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, release, small_batches, staged
+from .common import join_small, release, released, small_batches, staged
 from .wordhash import text_buffer
 
 UNKNOWN = "und"
@@ -71,19 +71,31 @@ def _vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.sqrt(tf) * idf)
 
 
-def train(texts: pa.Array, langs: list[str], clusters: int = 3, rounds: int = 8, quantile: float = 0.005, seed: int = 3) -> Model:
-    """Centroids by spherical k-means inside each language; distances for rejection by quantile."""
+def train(texts: pa.Array, langs: list[str], **options) -> Model:
+    """learn() from texts at hand."""
+    return learn(np.concatenate([counts(texts.slice(i, 256)).astype(np.float32) for i in range(0, len(texts), 256)]) if len(texts) else np.zeros((0, DIM), np.float32), langs, **options)
+
+
+def learn(tf: np.ndarray, langs: list[str], clusters: int = 3, rounds: int = 8, quantile: float = 0.005, seed: int = 3) -> Model:
+    """Centroids by spherical k-means inside each language; distances for rejection by quantile.
+
+    tf: n-gram counts, a float32 row a text; it is overwritten.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs], int)
-    tf = np.concatenate([counts(texts.slice(i, 256)).astype(np.float32) for i in range(0, len(texts), 256)]) if len(texts) else np.zeros((0, DIM), np.float32)
-    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1
-    x = _vectors(tf, idf).astype(np.float32)
+    at = {n: j for j, n in enumerate(names)}
+    y = np.array([at[x] for x in langs], int)
+    idf = np.log((1 + len(tf)) / (1 + np.count_nonzero(tf, axis=0))) + 1
+    x = np.sqrt(tf, out=tf)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    order = np.argsort(y, kind="stable")
+    cuts = np.searchsorted(y[order], np.arange(len(names) + 1))
     centroids, owner, least = [], [], []
     for j in range(len(names)):
-        own = x[y == j]
+        own = x[order[cuts[j] : cuts[j + 1]]]
         c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
-        for _ in range(rounds):
+        for _ in range(rounds if len(own) > len(c) else 0):
             near = (own @ c.T).argmax(1)
             c = np.stack([_unit(own[near == i].sum(0, keepdims=True))[0] if (near == i).any() else c[i] for i in range(len(c))])
         centroids.append(c)
@@ -93,26 +105,49 @@ def train(texts: pa.Array, langs: list[str], clusters: int = 3, rounds: int = 8,
 
 
 def fit(docs: DataFrame, per_language: int = 1_200, most: int = 12_000, held_out: tuple[int, int] = (5, 0)) -> Model:
-    """Train on about `per_language` texts of each language and at most `most` in all, from rows not held out.
+    """Train on the first `per_language` texts of each language in hash order, and on at most `most` in all, from rows not held out.
 
-    Languages are counted first; each keeps the rows whose hash falls under its share, so a
-    rare language keeps all of its rows. Ids are chosen before texts are read: the texts are
-    filtered where they lie by a broadcast of at most `most` ids.
+    Every language has the same bound, so a rare one keeps all of its rows. If there are more than
+    `most` languages, the most frequent ones are learned, one text each. Ids are chosen before texts
+    are read: the texts are filtered where they lie by a broadcast of at most `most` ids, and only
+    their n-gram counts, of a bounded size however long the text, reach the driver.
     """
     part, rest = held_out
-    rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % part != rest))
-    counts_of = staged(rows.groupBy("lang").count())
-    each = min(per_language, most // max(1, counts_of.count()))
-    share = counts_of.select("lang", (F.lit(1e6 * each) / F.col("count")).alias("share"))
-    ids = join_small(rows, share, "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share")).orderBy("h").limit(most).select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").filter("lang = _lang")
-    got = texts.groupBy("h", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
-    model = train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["lang"].to_pylist())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % part != rest))
+    languages = staged(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most))
+    each = min(per_language, most // max(1, languages.count()))
+    few = languages.select("lang", (F.lit(1e6 * (each + 6 * each**0.5 + 6)) / F.col("count")).alias("share"))
+    thin = join_small(rows, few, "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share")).select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
+    ids = thin.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("h", "doc_id"))).filter(F.col("_n") <= each).drop("_n")
+    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(staged(ids)), "doc_id").filter("lang = _lang")
+    got = _counted(texts.groupBy("h", "lang").agg(F.min("text").alias("text"))).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    tf = np.zeros((got.num_rows, DIM), np.float32)
+    for i, (slots, n) in enumerate(zip(got["slots"], got["n"], strict=True)):
+        tf[i, slots.values.to_numpy()] = n.values.to_numpy()
+    langs = got["lang"].to_pylist()
     del got
+    model = learn(tf, langs)
+    del tf
     release()
     return model
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """(h, lang, slots, n): the n-gram counts of texts(h, lang, text) that are not zero."""
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                tf = counts(part.column("text"))
+                row, slot = np.nonzero(tf)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(tf) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(tf[row, slot].astype(np.float32)))], names=["h", "lang", "slots", "n"])
+
+    return texts.select("h", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(released(run), "h long, lang string, slots array<smallint>, n array<float>")
+
+
 def _any_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter; only texts without an ASCII letter are looked at one by one."""
     data, at = text_buffer(texts)
