@@ -23,7 +23,7 @@ ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none."""
+    """The folder all executors see, spark.checkpoint.dir; a temporary one only in local mode."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stockpot-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -227,6 +227,26 @@ def test_exact_where_all_cells_are_visited(spark):
     assert [j for _, j, _ in got[2000]] == [2001, 2002, 2003, 2004, 2005]
 
 
+def test_toxicity_sample_is_bounded_by_words(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 5_000 if i % 7 == 0 else 30) + (" vile" if i % 3 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, most_words=9_000)
+    # At most one of the long texts fits into the bound, so hardly any of their words is known.
+    assert model.known_words.sum() < 0.2 * toxicity.fit(docs, labels).known_words.sum()
+    assert toxicity.score(docs, toxicity.fit(docs, labels, most_words=0)).filter("score BETWEEN 0 AND 1").count() == 120
+
+
+def test_more_languages_than_the_sample_holds(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 8) + f" w{i % 40}w" * 9, f"l{i % 40:02}") for i in range(400)] + [(1000 + i, "zzz yyy", "l00") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(langid.fit(docs, most=10).langs)[0] == "l00" and len(langid.fit(docs, most=10).langs) == 10
+    many = langid.fit(docs, per_language=5, most=200)
+    assert len(many.langs) == 40 and len(many.owner) == 120
+
+
 def recall(spark, rows):
     got, want = nearest(spark, rows), brute_nearest(rows)
     return sum(len({j for j, _ in want[q]} & {j for _, j, _ in got[q]}) for q in want) / sum(map(len, want.values()))
