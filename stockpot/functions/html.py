@@ -242,8 +242,12 @@ def frontier_links(listed: Column, anchors: Column, allowed, most: int = 200) ->
 
 
 def crawl_docs(pages: DataFrame) -> DataFrame:
-    """(url, text, title, times, ingredients, categories): the record kept of each page."""
-    rows = parse_pages(pages)
+    """(url, text, title, times, ingredients, categories): the record kept of each page(url, html)."""
+    return records(parse_pages(pages))
+
+
+def records(rows: DataFrame, *keep: str) -> DataFrame:
+    """crawl_docs of parsed pages(url, html, page), and the columns to keep."""
     p = F.col("page")
     total = F.coalesce(duration_minutes(p["total_time"]), duration_minutes(p["time_required"]))
     prep, cook = duration_minutes(p["prep_time"]), duration_minutes(p["cook_time"])
@@ -252,7 +256,7 @@ def crawl_docs(pages: DataFrame) -> DataFrame:
     empty = F.lit(None).cast("int")
     fields = lambda a, b, c: F.struct(a.alias("totalMinutes"), b.alias("prepMinutes"), c.alias("cookMinutes"))
     times = F.when(known, fields(total, prep, cook)).when(body.isNotNull(), fields(body, empty, empty))
-    return rows.select("url", p["text"].alias("text"), F.coalesce(p["name"], title(F.col("html"))).alias("title"), times.alias("times"), p["ingredients"].alias("ingredients"), p["categories"].alias("categories"))
+    return rows.select(*keep, "url", p["text"].alias("text"), F.coalesce(p["name"], title(F.col("html"))).alias("title"), times.alias("times"), p["ingredients"].alias("ingredients"), p["categories"].alias("categories"))
 
 
 def is_rich(ingredients: Column, times: Column) -> Column:

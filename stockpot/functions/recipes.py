@@ -57,32 +57,48 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, "^\\s+|\\s+$", "")
 
 
-def ingredient(line: Column) -> Column:
-    """struct<raw, name, quantity, unit, confidence> of one ingredient line.
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: an expression inside a lambda is computed wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ingredients(lines: Column) -> Column:
+    """array<struct<raw, name, quantity, unit, confidence>> of ingredient lines, blank ones left out.
 
     A leading number or fraction is the quantity (a fraction with a zero gives none), then
     a known unit if more follows; the rest without brackets, commas and semicolons is the name.
+    Each step is an array of its own, so that nothing is computed twice.
     """
-    raw = _trim(F.coalesce(line, F.lit("")))
-    lead = F.regexp_replace(F.regexp_extract(raw, _QUANTITY, 1), "\\s+", "")
-    over = F.split(lead, "/")
-    top, bottom = over[0].cast("double"), F.try_element_at(over, F.lit(2)).cast("double")
-    fraction = F.when((top != 0) & (bottom != 0), top / bottom)
-    quantity = F.when(lead == "", F.lit(None).cast("double")).when(lead.contains("/"), fraction).otherwise(F.nullif(lead, F.lit("")).cast("double"))
-    rest = _trim(F.regexp_replace(raw, _QUANTITY, ""))
-    parts = F.split(F.lower(rest), "\\s+")
-    unit = F.when((F.size(parts) > 1) & parts[0].isin(*UNITS), parts[0])
-    body = F.when(unit.isNotNull(), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")).otherwise(rest)
-    cleaned = F.regexp_replace(F.regexp_replace(body, "\\([^)]*\\)", " "), "[,;]+", " ")
-    name = _trim(F.regexp_replace(cleaned, "\\s+", " "))
-    weight = F.lit(0.5) + F.when(F.length(name) >= 3, 0.25).otherwise(0.0) + F.when(quantity.isNotNull(), 0.1).otherwise(0.0) + F.when(unit.isNotNull(), 0.1).otherwise(0.0)
-    filled = raw != ""
-    return F.struct(raw.alias("raw"), F.when(filled, F.nullif(name, F.lit(""))).alias("name"), F.when(filled, quantity).alias("quantity"), F.when(filled, unit).alias("unit"), F.when(filled, F.least(F.lit(1.0), weight)).otherwise(0.0).alias("confidence"))
+    none = F.lit(None).cast("double")
+    raws = F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: _trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
 
+    def cut(raw: Column) -> Column:
+        lead = F.regexp_extract(raw, _QUANTITY, 0)
+        return F.struct(raw.alias("raw"), F.split(F.regexp_replace(lead, "\\s+", ""), "/").alias("over"), _trim(F.substring(raw, F.length(lead) + 1, F.length(raw))).alias("rest"))
 
-def ingredients(lines: Column) -> Column:
-    """Parsed lines, blank ones left out."""
-    return F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), ingredient), lambda i: i["raw"] != "")
+    def number(x: Column) -> Column:
+        top, bottom = x["over"][0], F.try_element_at(x["over"], F.lit(2)).cast("double")
+        fraction = F.when((top.cast("double") != 0) & (bottom != 0), top.cast("double") / bottom)
+        quantity = F.when(top == "", none).when(bottom.isNotNull(), fraction).otherwise(F.nullif(top, F.lit("")).cast("double"))
+        return F.struct(x["raw"].alias("raw"), quantity.alias("quantity"), x["rest"].alias("rest"), F.regexp_extract(F.lower(x["rest"]), "^(\\S+)\\s+\\S", 1).alias("first"))
+
+    def named(x: Column) -> Column:
+        unit = F.when(x["first"].isin(*UNITS), x["first"])
+        after = F.lower(F.substring(x["rest"], F.length(x["first"]) + 1, F.length(x["rest"])))
+        cleaned = F.regexp_replace(F.regexp_replace(F.when(unit.isNotNull(), after).otherwise(x["rest"]), "\\([^)]*\\)", " "), "[,;]+", " ")
+        return F.struct(x["raw"].alias("raw"), _trim(F.regexp_replace(cleaned, "\\s+", " ")).alias("name"), x["quantity"].alias("quantity"), unit.alias("unit"))
+
+    def weighed(x: Column) -> Column:
+        weight = F.lit(0.5) + F.when(F.length(x["name"]) >= 3, 0.25).otherwise(0.0) + F.when(x["quantity"].isNotNull(), 0.1).otherwise(0.0) + F.when(x["unit"].isNotNull(), 0.1).otherwise(0.0)
+        return F.struct(x["raw"].alias("raw"), F.nullif(x["name"], F.lit("")).alias("name"), x["quantity"].alias("quantity"), x["unit"].alias("unit"), F.least(F.lit(1.0), weight).alias("confidence"))
+
+    return F.transform(F.transform(F.transform(F.transform(raws, cut), number), named), weighed)
+
+
+def ingredient(line: Column) -> Column:
+    """The same of one line; a blank one has no name and confidence 0."""
+    blank = F.struct(F.lit("").alias("raw"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(0.0).alias("confidence"))
+    return F.coalesce(F.try_element_at(ingredients(F.array(line)), F.lit(1)), blank)
 
 
 def ingredient_tokens(parsed: Column) -> Column:
@@ -93,28 +109,34 @@ def ingredient_tokens(parsed: Column) -> Column:
 
 def appliance_tags(text: Column) -> Column:
     """Appliances one of whose keywords is a substring of the lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(_has(low, keys), F.lit(tag)) for tag, keys in APPLIANCES.items()]))
+    tags = lambda low: F.array_compact(F.array(*[F.when(_has(low, keys), F.lit(tag)) for tag, keys in APPLIANCES.items()]))
+    return _let(F.lower(F.coalesce(text, F.lit(""))), tags)
 
 
 def dietary(title: Column, categories: Column, names: Column, has_ingredients: Column) -> Column:
     """struct<tags, confidence>: explicit wording first, else what meat, dairy and egg words allow."""
     cats = F.lower(F.array_join(categories, " "))
-    text = _trim(F.concat_ws(" ", F.lower(title), cats, F.lower(F.array_join(names, " "))))
-    meat, dairy, egg = _has(text, MEAT), _has(text, DAIRY), F.rlike(text, F.lit("\\begg(s)?\\b"))
-    vegetarian, vegan = text.contains("vegetarian"), text.contains("vegan")
-    dairy_free, gluten_free = F.rlike(text, F.lit("dairy[-\\s]?free")), _has(text, GLUTEN_FREE)
     phrases = "|".join(k for k in GLUTEN if " " in k)
     single = "\\b(?:" + "|".join(k for k in GLUTEN if " " not in k) + ")\\b"
-    gluten = F.rlike(text, F.lit(f"{phrases}|{single}"))
-    tags = F.array_compact(F.array(
-        F.when(vegetarian | (~meat & ~cats.contains("meat")), "vegetarian"),
-        F.when(vegan | (~meat & ~dairy & ~egg & ~cats.contains("dairy")), "vegan"),
-        F.when(dairy_free | ~dairy, "dairy-free"),
-        F.when(gluten_free, "gluten-free").when(gluten, "contains-gluten"),
-    ))
-    sure = F.when(F.size(tags) == 0, 0.0).when(vegetarian | vegan | dairy_free | gluten_free, 0.72).otherwise(0.45)
-    return F.struct(tags.alias("tags"), F.when(has_ingredients, sure).otherwise(F.least(sure, F.lit(0.35))).alias("confidence"))
+
+    def found(text: Column) -> Column:
+        flags = {
+            "meat": _has(text, MEAT), "dairy": _has(text, DAIRY), "egg": F.rlike(text, F.lit("\\begg(s)?\\b")), "vegetarian": text.contains("vegetarian"), "vegan": text.contains("vegan"),
+            "dairy_free": F.rlike(text, F.lit("dairy[-\\s]?free")), "gluten_free": _has(text, GLUTEN_FREE), "gluten": F.rlike(text, F.lit(f"{phrases}|{single}")),
+        }
+        return F.struct(*[v.alias(k) for k, v in flags.items()])
+
+    def tagged(f: Column) -> Column:
+        tags = F.array_compact(F.array(
+            F.when(f["vegetarian"] | (~f["meat"] & ~cats.contains("meat")), "vegetarian"),
+            F.when(f["vegan"] | (~f["meat"] & ~f["dairy"] & ~f["egg"] & ~cats.contains("dairy")), "vegan"),
+            F.when(f["dairy_free"] | ~f["dairy"], "dairy-free"),
+            F.when(f["gluten_free"], "gluten-free").when(f["gluten"], "contains-gluten"),
+        ))
+        sure = lambda t: F.when(F.size(t) == 0, 0.0).when(f["vegetarian"] | f["vegan"] | f["dairy_free"] | f["gluten_free"], 0.72).otherwise(0.45)
+        return _let(tags, lambda t: F.struct(t.alias("tags"), F.when(has_ingredients, sure(t)).otherwise(F.least(sure(t), F.lit(0.35))).alias("confidence")))
+
+    return _let(_let(_trim(F.concat_ws(" ", F.lower(title), cats, F.lower(F.array_join(names, " ")))), found), tagged)
 
 
 def time_bucket(minutes: Column) -> Column:

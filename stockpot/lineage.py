@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; a temporary folder only in local mode where that is unset."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stockpot-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stockpot-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The same through a Parquet table: compressed, and only the columns in use are read again."""
+    path = folder_for(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder_for(spark: SparkSession) -> str:
     """A new folder name in the shared place."""
     return f"{_shared(spark).rstrip('/')}/stockpot-{uuid.uuid4().hex}"

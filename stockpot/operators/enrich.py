@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -104,7 +104,7 @@ def _apply(rows: DataFrame, columns: list[str]) -> DataFrame:
     sure = F.col("extraction_confidence")
     at_least = {"appliance_tags": ("appliance_tags", 0.82), "dietary_tags": ("dietary_tags", 0.8), "ingredients": ("ingredient_normalizations", 0.8)}
     raised = F.transform_values(sure, lambda k, v: _raised(k, v, at_least, some))
-    patches = F.filter(F.coalesce(F.col("_a.ingredient_normalizations"), F.array().cast("array<struct<raw:string,name:string,quantity:double,unit:string>>")), lambda p: F.lit(True))
+    patches = F.coalesce(F.col("_a.ingredient_normalizations"), F.array().cast("array<struct<raw:string,name:string,quantity:double,unit:string>>"))
 
     def patch(i: Column) -> Column:
         # The last patch of a line counts.
@@ -131,10 +131,3 @@ def _raised(key: Column, value: Column, at_least: dict[str, tuple[str, float]],
     for name, (field, least) in at_least.items():
         out = F.when((key == name) & some(field), F.greatest(value, F.lit(least))).otherwise(out)
     return out
-
-
-def ranked_patches(patches: DataFrame, order: str) -> DataFrame:
-    """The last patch of each lower-cased line, as a table."""
-    last = Window.partitionBy("line").orderBy(F.desc(order))
-    rows = patches.withColumn("line", F.lower(F.trim("raw")))
-    return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")

@@ -30,7 +30,12 @@ def counted_postings(docs: DataFrame, text: Column, key: str = "doc_id") -> Data
 
     A document's tokens are counted by the task that reads it, so one row a posting is shuffled.
     """
-    return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy("term", key).agg(F.count("*").cast("int").alias("tf"))
+    return counted(docs, tokens(text), key)
+
+
+def counted(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
+    """(term, key, tf) of rows whose tokens are known."""
+    return docs.select(key, F.explode(found).alias("term")).groupBy("term", key).agg(F.count("*").cast("int").alias("tf"))
 
 
 def document_frequency(posts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -78,13 +83,14 @@ class Index:
     stats: DataFrame
 
     def write(self, folder: str, buckets: int | None = None) -> None:
-        """Overwrite the index: postings are clustered by term, so a query's terms touch few row groups."""
+        """Overwrite the index: tables are in ranges of term or facet and document, so that a query's terms
+        touch few row groups and a hot term or facet is spread over tasks and files."""
         spark = self.postings.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartition(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
         self.docmeta.write.mode("overwrite").parquet(f"{folder}/docmeta")
-        self.attrs.repartition("attr_type", "attr_key").sortWithinPartitions("attr_type", "attr_key").write.mode("overwrite").parquet(f"{folder}/attrs")
+        self.attrs.repartitionByRange(n, "attr_type", "attr_key", "doc_id").sortWithinPartitions("attr_type", "attr_key", "doc_id").write.mode("overwrite").parquet(f"{folder}/attrs")
         # Derived from what is stored, so that texts are not read and tokenised again.
         document_frequency(stored).write.mode("overwrite").parquet(f"{folder}/df")
         corpus_stats(spark.read.parquet(f"{folder}/docmeta")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")

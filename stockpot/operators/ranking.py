@@ -55,9 +55,14 @@ def search(index: Index, terms: DataFrame, facets: DataFrame, limits: DataFrame)
 
 
 def top_k(scored: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The first `top` (at least 1) rows of each query by score and then key."""
+    """The first `top` (at least 1) rows of each query by score and then key.
+
+    The largest limit of the batch is a literal in the plan, so that every task keeps only that
+    many rows of a query before they are sorted; each query's own limit comes after.
+    """
+    most = max(1, limits.agg(F.max("top")).first()[0] or 1)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    out = scored.join(F.broadcast(limits), "query_id").withColumn("rank", rank)
+    out = scored.withColumn("rank", rank).filter(F.col("rank") <= most).join(F.broadcast(limits), "query_id")
     return out.filter(F.col("rank") <= F.greatest(F.lit(1), F.col("top"))).select("query_id", "rank", key, "score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -43,6 +43,11 @@ def tag_token(tag: str) -> str:
     return re.sub(r"[^a-z0-9]", "", tag.lower())
 
 
+def tag_tokens(tag: Column) -> Column:
+    """tag_token of a column."""
+    return F.regexp_replace(F.lower(tag), "[^a-z0-9]", "")
+
+
 def _ranked(spark: SparkSession, pairs: list[tuple[str, str]], scores: DataFrame) -> dict[str, str]:
     """For each token its best candidate: vocabulary rows meet the broadcast candidates in one join."""
     if not pairs:

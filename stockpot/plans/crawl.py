@@ -9,9 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import crawl_docs, is_rich, parse_pages
+from ..functions.html import crawl_docs, is_rich, parse_pages, records
 from ..functions.urls import policy
-from ..lineage import cut
+from ..lineage import cut, staged
 from ..operators.frontier import MAX_DEPTH, MAX_OUTLINKS, expand, merge_frontier, to_visit
 
 Fetch = Callable[[DataFrame], DataFrame]
@@ -54,7 +54,7 @@ def run(spark: SparkSession, seeds: DataFrame, fetch: Fetch, allowed: Callable[[
     filters by depth and visited pages, fetches, keeps each page under the requested url
     and merges its links into the next frontier. It ends with an empty frontier, max_rounds,
     max_pages visited (looked at between rounds) or should_abort at a round's start. The
-    tables of a round are checkpointed, so plans don't grow with rounds.
+    tables of a round are checkpointed or staged, so that no plan but the union of the docs grows with rounds.
     """
     allowed = allowed or policy("multisite")
     seen = cut(visited.select("url").distinct()) if visited is not None else spark.createDataFrame([], "url string")
@@ -67,13 +67,13 @@ def run(spark: SparkSession, seeds: DataFrame, fetch: Fetch, allowed: Callable[[
             break
         started = time.monotonic()
         pages = fetch(to_visit(frontier, seen, max_depth)).filter(F.coalesce(F.col("html"), F.lit("")) != "")
-        pages = cut(pages.select(F.col("url").alias("key"), F.coalesce("final_url", "url").alias("url"), "depth", "html"))
-        found = crawl_docs(pages.select("url", "html").dropDuplicates(["url"]))
-        stored = pages.select("key", "url").join(found, "url").dropDuplicates(["key"])
+        pages = pages.select(F.col("url").alias("key"), F.coalesce("final_url", "url").alias("url"), "depth", "html").dropDuplicates(["key"])
+        # Each page is parsed once; what is kept of it and its links are read from the staged result.
+        parsed = staged(parse_pages(pages))
+        stored = records(parsed, "key").select("url", "key", "text", "title", "times", "ingredients", "categories")
         docs = stored if docs is None else docs.unionByName(stored)
-        seen = cut(seen.union(pages.select(F.col("key").alias("url"))))
-        parsed = parse_pages(pages.select("key", "url", "depth", "html")).select(F.col("key").alias("url"), "depth", "page")
-        links = merge_frontier(expand(parsed, allowed, max_outlinks))
+        seen = cut(seen.union(parsed.select(F.col("key").alias("url"))))
+        links = merge_frontier(expand(parsed.select(F.col("key").alias("url"), "depth", "page"), allowed, max_outlinks))
         following = cut(to_visit(links, seen, max_depth))
         rounds, added, after = rounds + 1, following.count(), seen.count()
         adds += added

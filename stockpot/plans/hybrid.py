@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,14 +57,17 @@ def parse(query: str | None) -> Parsed:
     return out
 
 
+def _local(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A table of (query_id, names...) inside the plan, for which no job runs."""
+    columns = list(zip(*rows, strict=True)) or [()] * (1 + len(names))
+    kinds = [pa.int32(), *[pa.int32() if n == "top" else pa.string() for n in names]]
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", *names]))
+
+
 def _frames(spark: SparkSession, parsed: dict[int, Parsed], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     terms = [(i, t) for i, p in parsed.items() for t in dict.fromkeys(p.terms)]
     facets = [(i, k, v) for i, p in parsed.items() for k, v in p.facets()]
-    return (
-        spark.createDataFrame(terms, "query_id int, term string"),
-        spark.createDataFrame(facets, "query_id int, attr_type string, attr_key string"),
-        spark.createDataFrame([(i, limit) for i in parsed], "query_id int, top int"),
-    )
+    return tuple(_local(spark, *t) for t in ((terms, ("term",)), (facets, ("attr_type", "attr_key")), ([(i, limit) for i in parsed], ("top",))))
 
 
 def batch(spark: SparkSession, index: Index, queries: list[str], limit: int = 20) -> DataFrame:
@@ -103,7 +107,7 @@ def did_you_mean(spark: SparkSession, index: Index, query: str, parsed: Parsed)
     if left:
         tags = index.attrs.filter(F.col("attr_key").isin(*DIETS, *APPLIANCES) & F.col("attr_type").isin("dietary", "appliance")).groupBy("attr_key").agg(F.count("*").alias("score"))
         shown = {spell.tag_token(t): t for t in (*DIETS, *APPLIANCES)}
-        scores = tags.select(F.regexp_replace(F.lower("attr_key"), "[^a-z0-9]", "").alias("term"), "score")
+        scores = tags.select(spell.tag_tokens(F.col("attr_key")).alias("term"), "score")
         best |= {t: shown[w] for t, w in spell.best_words(spark, [spell.tag_token(t) for t in left], scores).items() if w in shown}
     after = [best.get(t, t) for t in terms]
     if after == terms:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import html, ids, recipes, text, urls
 from .functions.porter import stem_column
+from .lineage import folder_for
 from .operators import enrich, frontier, index, mapreduce, ngrams, ranking, spell, stats
 from .plans import corpus, crawl, hybrid
 from .sources import sitemaps, store, tables, web
@@ -130,9 +131,30 @@ def _batch_sql() -> str:
     return _bm25_sql(f"SELECT * FROM (VALUES {', '.join(terms)}) x(query_id, term)", f"SELECT * FROM (VALUES {', '.join(facets)}) y(query_id, attr_type, attr_key)", 20)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> index.Index:
+    """The index of the documents, written to the shared folder by the first query of a session that asks."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _stored:
+        folder = folder_for(spark)
+        corpus.index(_read(spark, d, "documents")).write(folder)
+        _stored[name] = folder
+    return index.Index.read(spark, _stored[name])
+
+
 def _ask(spark: SparkSession, d: str, asked: list[str]) -> DataFrame:
-    terms = sorted({t for q in asked for t in hybrid.parse(q).terms})
-    return hybrid.batch(spark, corpus.index_for(_read(spark, d, "documents"), terms), asked)
+    return hybrid.batch(spark, stored_index(spark, d), asked)
+
+
+@query(_bm25_sql("SELECT 0 AS query_id, unnest(['with', 'that']) AS term", "SELECT 0 AS query_id, 'dietary' AS attr_type, 'en' AS attr_key", 20))
+def texts_asked(spark: SparkSession, d: str) -> DataFrame:
+    """A single batch straight over texts, without a stored index."""
+    found = corpus.index_for(_read(spark, d, "documents"), ["with", "that"])
+    one = lambda row, schema: spark.createDataFrame([row] if isinstance(row, tuple) else row, schema)
+    hits = ranking.search(found, one([(0, "with"), (0, "that")], "query_id int, term string"), one((0, "dietary", "en"), "query_id int, attr_type string, attr_key string"), one((0, 20), "query_id int, top int"))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_batch_sql())
@@ -231,9 +253,9 @@ def stems(spark: SparkSession, d: str) -> DataFrame:
 _TYPOS = ("tha", "withh", "anf", "ofr", "tyhe")
 
 
-def _edits_sql() -> str:
+def _edits_sql(typos: tuple[str, ...] = _TYPOS) -> str:
     letters = f"unnest(string_split('{spell.ALPHABET}', ''))"
-    words = ", ".join(f"('{t}')" for t in _TYPOS)
+    words = ", ".join(f"('{t}')" for t in typos)
     return f"""WITH w AS (SELECT token, unnest(range(0, length(token) + 1)) AS i FROM (VALUES {words}) x(token)), c AS (SELECT {letters} AS c),
     e AS (SELECT token, substr(token, 1, i) || substr(token, i + 2) AS term FROM w WHERE i < length(token)
       UNION SELECT token, substr(token, 1, i) || substr(token, i + 2, 1) || substr(token, i + 1, 1) || substr(token, i + 3) FROM w WHERE i < length(token) - 1
@@ -250,14 +272,6 @@ def spell_suggest(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(spell.best_words(spark, list(_TYPOS), scores).items()), "token string, suggestion string")
 
 
-@query()
-def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
-    found = corpus.index(_read(spark, d, "documents"))
-    q = "zzqx tyhe withhh"
-    better = hybrid.did_you_mean(spark, found, q, hybrid.parse(q)) or {"suggested_query": q}
-    return spark.createDataFrame([(q, better["suggested_query"])], "query string, suggested_query string")
-
-
 # pages and urls
 
 
@@ -271,28 +285,25 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return html.parse_pages(_read(spark, d, "pages")).select("page_id", "page.text")
 
 
-@query()
+_HREFS = "regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)"
+_SITE_OF = "regexp_extract(url, '^[a-z]+://[^/?#]+', 0)"
+
+
+@query(f"SELECT page_id, (i - 1)::INTEGER AS position, CASE WHEN h[i] LIKE 'http%' THEN '' ELSE {_SITE_OF} END || regexp_replace(h[i], '[?#].*$', '') AS link FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, {_HREFS} AS h FROM pages))")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return html.parse_pages(_read(spark, d, "pages")).select("page_id", F.posexplode("page.anchors").alias("position", "link"))
 
 
-@query()
+@query("SELECT url, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>([^<]*)</title>') THEN regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '^\\s+|\\s+$', '', 'g') END AS title, true AS some_text FROM pages")
 def crawl_records(spark: SparkSession, d: str) -> DataFrame:
-    return html.crawl_docs(_read(spark, d, "pages")).select("url", "title", F.length("text").alias("n_text"), "times.totalMinutes")
-
-
-@query("SELECT count(*) AS total_docs, CAST(sum(CASE WHEN regexp_matches(html, '(?i)<body') AND false THEN 1 ELSE 0 END) AS BIGINT) AS with_ingredients FROM pages")
-def rich_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = html.crawl_docs(_read(spark, d, "pages"))
-    return docs.agg(F.count("*").alias("total_docs"), F.count_if(F.coalesce(F.size("ingredients") > 0, F.lit(False))).alias("with_ingredients"))
+    return html.crawl_docs(_read(spark, d, "pages")).select("url", "title", (F.length("text") > 0).alias("some_text"))
 
 
 @query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\\.', '') AS host,
-  CASE WHEN url LIKE '%index.html' THEN substr(url, 1, length(url) - 10) WHEN url LIKE '%/' THEN url ELSE url || '/' END AS base,
-  regexp_replace(url, '[?#].*$', '') AS stripped FROM pages""")
+  CASE WHEN url LIKE '%index.html' THEN substr(url, 1, length(url) - 10) WHEN url LIKE '%/' THEN url ELSE url || '/' END AS base FROM pages""")
 def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
-    return _read(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.adjusted_base(u).alias("base"), F.regexp_replace(u, "[?#].*$", "").alias("stripped"))
+    return _read(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.adjusted_base(u).alias("base"))
 
 
 _URL_FORMS = (
@@ -331,11 +342,10 @@ _AMOUNTS = ("2 cups ", "1/2 cup ", "3 ", "0/2 ", "1.5 tbsp ", "")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as crawl records: the first line is the title, words of the text make ingredient lines."""
+    """Documents as crawl records: the first line is the title, every line of the text makes an ingredient line."""
     docs = _read(spark, d, "documents")
-    w = text.words(F.col("text"))
     amount = F.element_at(F.array(*[F.lit(x) for x in _AMOUNTS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    lines = F.transform(F.slice(w, F.lit(1), F.lit(4)), lambda x: F.concat(amount, F.lit("x"), x, F.lit(" flour, (fresh)")))
+    lines = F.transform(corpus.lines(), lambda x: F.concat(amount, F.lit("x"), x, F.lit(" flour, (fresh)")))
     times = F.when(F.col("doc_id") % 3 == 0, F.struct((F.col("doc_id") % 90).cast("int").alias("totalMinutes"), F.lit(None).cast("int").alias("prepMinutes"), F.lit(5).alias("cookMinutes")))
     return docs.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), "text", F.try_element_at(corpus.lines(), F.lit(1)).alias("title"), times.alias("times"), lines.alias("ingredients"), F.array("lang").alias("categories"))
 
@@ -359,14 +369,6 @@ def source_hash(spark: SparkSession, d: str) -> DataFrame:
 _AMOUNT_SQL = "[" + ", ".join(f"'{a}'" for a in _AMOUNTS) + "][doc_id % 6 + 1]"
 
 
-@query(f"""SELECT doc_id, p AS position, {_AMOUNT_SQL} || 'x' || w || ' flour, (fresh)' AS raw, 'x' || w || ' flour' AS name, [2.0, 0.5, 3.0, NULL, 1.5, NULL][doc_id % 6 + 1]::DOUBLE AS quantity,
-  ['cups', 'cup', NULL, NULL, 'tbsp', NULL][doc_id % 6 + 1] AS unit, [0.95, 0.95, 0.85, 0.75, 0.95, 0.75][doc_id % 6 + 1]::DOUBLE AS confidence
-  FROM (SELECT doc_id, unnest(v) AS w, generate_subscripts(v, 1) - 1 AS p FROM (SELECT doc_id, ({_sql_words()})[1:4] AS v FROM documents))""")
-def ingredient_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = _records(spark, d).select("doc_id", F.posexplode("ingredients").alias("position", "line")).withColumn("i", recipes.ingredient(F.col("line")))
-    return rows.select("doc_id", F.col("position").cast("long").alias("position"), "i.raw", "i.name", "i.quantity", "i.unit", F.round("i.confidence", 6).alias("confidence"))
-
-
 def _contains(column: str, words: tuple[str, ...]) -> str:
     return f"regexp_matches({column}, '{'|'.join(words)}')"
 
@@ -384,22 +386,12 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("seconds"), minutes.alias("minutes"), recipes.time_bucket(minutes).alias("bucket"))
 
 
-@query()
-def canonical_recipes(spark: SparkSession, d: str) -> DataFrame:
-    return recipes.normalise(_records(spark, d)).select("recipe_id", "source_url", "title", F.array_join("dietary_tags", ",").alias("diet"), F.array_join("appliance_tags", ",").alias("appliances"), F.array_join("quality_flags", ",").alias("flags"), F.size("normalized_ingredients").alias("n_ingredients"))
-
-
 @query(f"SELECT 'doc:' || doc_id AS source_url, unnest(b) AS step_text, generate_subscripts(b, 1)::INTEGER - 1 AS position FROM (SELECT doc_id, ({_LINES})[1:30] AS b FROM documents)")
 def recipe_steps(spark: SparkSession, d: str) -> DataFrame:
     rows = recipes.normalise(_records(spark, d))
     return tables.steps_table(rows).join(rows.select("recipe_id", "source_url"), "recipe_id").select("source_url", "step_text", "position")
 
 
-@query()
-def recipe_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tables.tags_table(recipes.normalise(_records(spark, d)))
-
-
 @query("SELECT doc_id, sha256('\"' || source || '\"') AS id FROM documents WHERE source IS NOT NULL")
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", ids.content_id(F.col("source")).alias("id"))
@@ -415,21 +407,6 @@ def frontier_merge(spark: SparkSession, d: str) -> DataFrame:
     return frontier.to_visit(frontier.merge_frontier(links), visited)
 
 
-@query()
-def frontier_round(spark: SparkSession, d: str) -> DataFrame:
-    rows = html.parse_pages(_read(spark, d, "pages").withColumn("depth", F.lit(0)))
-    return frontier.merge_frontier(frontier.expand(rows, lambda u: urls.host(u) != ""))
-
-
-@query()
-def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl over the table of pages, links being followed to whatever host."""
-    pages = _read(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), "html")
-    seeds = pages.select("url").orderBy("url").limit(20)
-    done = crawl.run(spark, seeds, web.from_table(pages), allowed=lambda u: urls.host(u) != "", max_rounds=4)
-    return done.visited
-
-
 # statistics, sets and the store
 
 
@@ -485,12 +462,6 @@ def kv_delete(spark: SparkSession, d: str) -> DataFrame:
     return store.delete(*_pairs(spark, d))
 
 
-@query("SELECT DISTINCT key FROM (SELECT CAST(user_id AS VARCHAR) AS key FROM events UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM labels)")
-def kv_keys(spark: SparkSession, d: str) -> DataFrame:
-    users = _read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"))
-    return users.union(_pairs(spark, d)[0].select("key")).distinct()
-
-
 @query("SELECT key, value FROM (SELECT CAST(user_id AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY user_id)")
 def kv_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id")
@@ -516,8 +487,6 @@ def weighted_postings(spark: SparkSession, d: str) -> DataFrame:
 @query(_grams_sql("benchmark", "item_id"))
 def stream_gram_merge(spark: SparkSession, d: str) -> DataFrame:
     """The n-gram index kept by a stream that reads the items as files, run until nothing is left."""
-    from .lineage import folder_for
-
     pages = _read(spark, d, "benchmark")
     base = folder_for(spark)
     pages.select("item_id", "text").repartition(4).write.parquet(f"{base}/in")
@@ -554,12 +523,6 @@ def body_minutes(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "pages").select("page_id", html.body_minutes(full).alias("minutes"), html.body_minutes(other).alias("none_without_unit"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g') AS token FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
-def tag_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
-    return rows.select("doc_id", F.regexp_replace(F.lower(F.concat_ws("-", "source", "lang")), "[^a-z0-9]", "").alias("token"))
-
-
 @query(_edits_sql().split("df AS (")[0].rstrip().rstrip(",") + " SELECT token, term FROM e")
 def edit_candidates(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, e) for t in _TYPOS for e in spell.edits(t)], "token string, term string")
@@ -570,37 +533,13 @@ def tag_cap(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(enrich.tag_list(text.words(F.col("text")))), ",").alias("tags"))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN n > 0 THEN [0.95, 0.95, 0.85, 0.75, 0.95, 0.75][doc_id % 6 + 1]::DOUBLE ELSE 0 END, 6) AS confidence FROM (SELECT doc_id, len(({_sql_words()})[1:4]) AS n FROM documents)")
+@query(f"SELECT doc_id, round(CASE WHEN n > 0 THEN [0.95, 0.95, 0.85, 0.75, 0.95, 0.75][doc_id % 6 + 1]::DOUBLE ELSE 0 END, 6) AS confidence FROM (SELECT doc_id, len({_LINES}) AS n FROM documents)")
 def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
     rows = recipes.normalise(_records(spark, d))
     number = F.regexp_extract("source_url", "[0-9]+", 0).cast("long").alias("doc_id")
     return rows.select(number, F.round(F.col("extraction_confidence")["ingredients"], 6).alias("confidence"))
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
-def last_patch(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "events").withColumn("raw", F.concat(F.lit(" "), F.upper("event_type"), F.lit("/"), F.col("user_id").cast("string")))
-    return enrich.ranked_patches(rows, "event_id").select("user_id", "event_type", "event_id")
-
-
-@query("SELECT 'recipes' AS table_name, count(*) AS row_count FROM documents UNION ALL SELECT 'recipe_extraction_meta', count(*) FROM documents")
-def replaced_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Recipes written once and then again under other ids: rows are replaced, children go along."""
-    rows = recipes.normalise(_records(spark, d))
-    again = rows.withColumn("recipe_id", F.concat(F.lit("new-"), F.col("recipe_id")))
-    out = tables.replaced(tables.relational(rows), tables.relational(again))
-    return tables.row_counts({n: out[n] for n in ("recipes", "recipe_extraction_meta")})
-
-
-@query("SELECT DISTINCT user_id AS key FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND user_id IN (SELECT o_custkey FROM orders)")
-def set_intersection(spark: SparkSession, d: str) -> DataFrame:
-    sides = [_read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("key")), _read(spark, d, "orders").select(F.col("o_custkey").alias("key"))]
-    out = _read(spark, d, "events").select(F.col("user_id").alias("key")).distinct()
-    for side in sides:
-        out = out.join(side, "key", "left_semi")
-    return out
-
-
 @query("SELECT 'https://www.food.com/recipe/' || (page_id * 3 + i) AS url FROM pages, (SELECT unnest(range(0, 3)) AS i) WHERE i < 2")
 def seeds(spark: SparkSession, d: str) -> DataFrame:
     """Seeds through robots, an index of sitemaps and the URL policy; every third URL is of another kind."""
@@ -620,17 +559,4 @@ def needed_fields(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_url", F.array_contains(enrich.needed_fields(rows), "appliance_tags").alias("asks_appliances"))
 
 
-@query()
-def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The parser over conversation turns of users taken as queries."""
-    turns = _read(spark, d, "conversations").filter("role = 'user'")
-
-    def parse(batch):
-        import pyarrow as pa
-
-        return pa.array([" ".join(hybrid.parse(q).terms) for q in batch.to_pylist()])
-
-    from .shipping import ship
-
-    ship(spark)
-    return turns.select("conv_id", "turn", F.arrow_udf(parse, "string")("text").alias("terms"))
+from . import queries_chains  # noqa: E402, F401  (registers its queries; it needs the helpers above)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 SCHEMA = "key string, value string"
 
 
@@ -61,6 +63,13 @@ class Store:
     def keys(self, group: str) -> DataFrame:
         return self.table(group).select("key").distinct()
 
+    def all_keys(self, groups: list[str]) -> DataFrame:
+        """The keys of several groups one after the other; a key of two groups comes twice."""
+        out = self.spark.createDataFrame([], "key string")
+        for group in groups:
+            out = out.unionAll(self.table(group).select("key"))
+        return out
+
     def get(self, group: str, key: str) -> str:
         row = self.table(group).filter(F.col("key") == key).first()
         if row is None:
@@ -87,3 +96,20 @@ class Store:
         value = self.get(group, key)
         self.replace(group, self.table(group).filter(F.col("key") != key))
         return value
+
+
+class Memory(Store):
+    """The same groups held in executor memory for a session; a lost executor's part is read again from the table before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        super().__init__(spark, "memory")
+        self._groups: dict[str, DataFrame] = {}
+
+    def table(self, group: str) -> DataFrame:
+        return self._groups.get(group, self.spark.createDataFrame([], SCHEMA))
+
+    def replace(self, group: str, rows: DataFrame) -> None:
+        before, kept = self._groups.get(group), cut(rows).cache()
+        self._groups[group] = kept
+        if before is not None:
+            before.unpersist()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_nullable
+from ..lineage import staged
 
 TAG_TYPES = ("appliance", "dietary", "category")
 
@@ -76,7 +77,7 @@ def replaced(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str,
 def write(recipes: DataFrame, folder: str, old: str | None = None) -> dict[str, int]:
     """Write the tables to a new folder, merged with those in the folder `old` if given; {"written": recipes}."""
     spark = recipes.sparkSession
-    new = relational(recipes)
+    new = relational(staged(recipes))  # five tables from one normalisation
     check_tags(new["recipe_tags"])
     out = replaced({n: spark.read.parquet(f"{old}/{n}") for n in TABLES}, new) if old else new
     for name, rows in out.items():

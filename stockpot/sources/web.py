@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import urljoin
 from ..shipping import ship
 
-MAX_BYTES, MAX_TEXT_BYTES, TIMEOUT_S, MAX_REDIRECTS = 2_000_000, 8_000_000, 20, 8
+MAX_BYTES, MAX_TEXT_BYTES, TIMEOUT_S, TEXT_TIMEOUT_S, MAX_REDIRECTS = 2_000_000, 8_000_000, 20, 45, 8
 
 
 @dataclass
@@ -41,6 +42,25 @@ def fetch_page(get: Get, url: str, max_bytes: int = MAX_BYTES, max_redirects: in
     return None
 
 
+def retrying(get: Get, tries: int = 3, wait: float = 1.0) -> Get:
+    """A fetcher that asks again after `wait` seconds, doubled each time, while there is no answer at all."""
+
+    def again(url: str) -> Response | None:
+        for i in range(tries):
+            if (answer := get(url)) is not None or i == tries - 1:
+                return answer
+            time.sleep(wait * 2**i)
+        return None
+
+    return again
+
+
+def fetch_text(url: str, get: Get | None = None) -> str | None:
+    """The body of a text file such as robots.txt or a sitemap, up to MAX_TEXT_BYTES and within TEXT_TIMEOUT_S; None on failure."""
+    got = fetch_page(get or urllib_get(timeout=TEXT_TIMEOUT_S), url, MAX_TEXT_BYTES)
+    return got[2] if got and 200 <= got[1] < 300 else None
+
+
 def urllib_get(timeout: float = TIMEOUT_S, agent: str = "stockpot", most: int = MAX_TEXT_BYTES) -> Get:
     """A fetcher on the standard library, for sessions with a network."""
     from urllib import error, request

@@ -263,6 +263,25 @@ def test_streams(spark, tmp_path):
     assert handled == ["https://a"]
 
 
+def test_tailed_queue_stops_and_loses_nothing(spark, tmp_path):
+    from stockpot.streaming import urls as queue
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/1.txt").write_text("https://a\nstop\n")
+    handled = []
+    start = lambda: queue.start_queue(queue.read_queue(spark, str(tmp_path / "t")), lambda b: handled.extend(r["url"] for r in b.collect()), str(tmp_path / "tc"), every="200 milliseconds")
+    assert queue.tail(start(), timeout=60)
+    (tmp_path / "t/2.txt").write_text("https://b\nstop\n")
+    assert queue.tail(start(), timeout=60) and handled == ["https://a", "https://b"]
+
+
+def test_exports():
+    import stockpot
+
+    assert stockpot.normalise is recipes.normalise and stockpot.Index is index.Index
+    assert all(getattr(stockpot, name) for name in stockpot.EXPORTS_NAMES)
+
+
 def test_weighted_postings(canonical):
     got = {(r["term"], r["weight"]) for r in index.weighted_postings(canonical).collect()}
     assert {("pie", "A"), ("flour", "B"), ("oven", "C")} <= got
