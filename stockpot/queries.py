@@ -85,11 +85,11 @@ def token_words(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "conversations").select("conv_id", "turn", F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query(f"""SELECT term, item_id, count(*) AS tf, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions
-  FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS p FROM (SELECT item_id, {_sql_words(least=2)} AS t FROM benchmark)) GROUP BY term, item_id""")
+@query(f"""SELECT term, doc_id, count(*) AS tf, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions
+  FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS p FROM (SELECT doc_id, {_sql_words(least=2)} AS t FROM documents)) GROUP BY term, doc_id""")
 def postings_positions(spark: SparkSession, d: str) -> DataFrame:
-    found = index.postings(_read(spark, d, "benchmark"), [F.col("text")], "item_id")
-    return found.select("term", "item_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    found = index.postings(_read(spark, d, "documents"), [F.col("text")], "doc_id")
+    return found.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
 @query(_POSTS)
@@ -199,47 +199,48 @@ def ngram_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ngram_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    pages = _read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("url"), "text")
+    pages = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
     return ngrams.local_index(pages, ngrams.stopwords(spark))
 
 
 @query(f"""SELECT gram, url, CAST(sum(freq) AS BIGINT) AS freq FROM (
-  SELECT gram, 'item:' || item_id AS url, freq FROM ({_grams_sql('benchmark', 'item_id')})
-  UNION ALL SELECT gram, 'item:' || item_id, freq FROM ({_grams_sql('benchmark', 'item_id')})
+  SELECT gram, 'doc:' || doc_id AS url, freq FROM ({_grams_sql('documents', 'doc_id')})
+  UNION ALL SELECT gram, 'doc:' || doc_id, freq FROM ({_grams_sql('documents', 'doc_id')})
   UNION ALL SELECT gram, 'conv:' || conv_id, freq FROM ({_grams_sql('conversations', 'conv_id')})) GROUP BY gram, url""")
 def ngram_merge(spark: SparkSession, d: str) -> DataFrame:
     key = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string")).alias("url")
-    items = ngrams.in_row_grams(_read(spark, d, "benchmark"), ngrams.STOPWORDS, key="item_id").select("gram", key("item:", "item_id"), "freq")
+    docs = ngrams.in_row_grams(_read(spark, d, "documents"), ngrams.STOPWORDS, key="doc_id").select("gram", key("doc:", "doc_id"), "freq")
     talks = ngrams.in_row_grams(_read(spark, d, "conversations"), ngrams.STOPWORDS, key="conv_id").select("gram", key("conv:", "conv_id"), "freq")
-    return ngrams.merge(ngrams.merge(items, talks), items).select("gram", "url", "freq")
+    return ngrams.merge(ngrams.merge(docs, talks), docs).select("gram", "url", "freq")
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    found = ngrams.in_row_grams(_read(spark, d, "benchmark"), ngrams.STOPWORDS, key="item_id")
-    return found.select("gram", F.col("item_id").cast("string").alias("url"), "freq")
+def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
+    found = ngrams.in_row_grams(_read(spark, d, "documents"), ngrams.STOPWORDS, key="doc_id")
+    return found.select("gram", F.col("doc_id").cast("string").alias("url"), "freq")
 
 
-_ITEM_GRAMS = f"SELECT gram, CAST(item_id AS VARCHAR) AS url, freq FROM ({_grams_sql('benchmark', 'item_id')})"
+_DOC_GRAMS = f"SELECT gram, CAST(doc_id AS VARCHAR) AS url, freq FROM ({_grams_sql('documents', 'doc_id')})"
 
 
-@query(f"SELECT gram || ' | ' || string_agg(url || ' ' || freq, ' ' ORDER BY freq DESC, url) AS value FROM ({_ITEM_GRAMS}) GROUP BY gram")
+@query(f"SELECT gram || ' | ' || string_agg(url || ' ' || freq, ' ' ORDER BY freq DESC, url) AS value FROM ({_DOC_GRAMS}) GROUP BY gram")
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.to_lines(ngrams.posting_lists(_items(spark, d)))
+    return ngrams.to_lines(ngrams.posting_lists(_doc_grams(spark, d)))
 
 
-@query(f"SELECT gram, CAST(sum(freq) AS BIGINT) AS freq_sum FROM ({_ITEM_GRAMS}) GROUP BY gram")
+@query(f"SELECT gram, CAST(sum(freq) AS BIGINT) AS freq_sum FROM ({_DOC_GRAMS}) GROUP BY gram")
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.from_lines(ngrams.to_lines(ngrams.posting_lists(_items(spark, d)))).select("gram", F.col("freq_sum"))
+    lines = ngrams.to_lines(ngrams.posting_lists(_doc_grams(spark, d)))
+    return ngrams.from_lines(lines).groupBy("gram").agg(F.sum("freq_sum").alias("freq_sum"))
 
 
-@query(f"SELECT * FROM ({_ITEM_GRAMS}) WHERE contains(' ' || gram || ' ', ' tion ')")
+@query(f"SELECT * FROM ({_DOC_GRAMS}) WHERE contains(' ' || gram || ' ', ' tion ')")
 def phrase_query(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.phrase_query(_items(spark, d), ["tion"])
+    return ngrams.phrase_query(_doc_grams(spark, d), ["tion"])
 
 
-@query(f"SELECT term, CAST(sum(freq) AS BIGINT) AS score FROM (SELECT freq, unnest(list_distinct(string_split(gram, ' '))) AS term FROM ({_ITEM_GRAMS})) GROUP BY term")
+@query(f"SELECT term, CAST(sum(freq) AS BIGINT) AS score FROM (SELECT freq, unnest(list_distinct(string_split(gram, ' '))) AS term FROM ({_DOC_GRAMS})) GROUP BY term")
 def vocab_score(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.vocabulary(_items(spark, d))
+    return ngrams.vocabulary(_doc_grams(spark, d))
 
 
 @query()
@@ -474,44 +475,44 @@ def map_reduce(spark: SparkSession, d: str) -> DataFrame:
     return mapreduce.map_reduce(rows, lambda key, value: [{value["event_type"]: 1}], lambda key, values: sum(values))
 
 
-@query(f"SELECT term, item_id AS doc_id, 'C' AS weight, count(*) AS tf FROM (SELECT item_id, unnest({_sql_words(least=2)}) AS term FROM benchmark) GROUP BY term, item_id")
+@query(f"SELECT term, doc_id, 'C' AS weight, count(*) AS tf FROM (SELECT doc_id, unnest({_sql_words(least=2)}) AS term FROM documents) GROUP BY term, doc_id")
 def weighted_postings(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    docs = _read(spark, d, "benchmark").select(F.col("item_id").alias("recipe_id"), F.lit("").alias("title"), none.alias("ingredients_raw"), F.array("text").alias("steps_raw"))
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("recipe_id"), F.lit("").alias("title"), none.alias("ingredients_raw"), F.array("text").alias("steps_raw"))
     return index.weighted_postings(docs)
 
 
 # streaming
 
 
-@query(_grams_sql("benchmark", "item_id"))
+@query(_grams_sql("documents", "doc_id"))
 def stream_gram_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The n-gram index kept by a stream that reads the items as files, run until nothing is left."""
-    pages = _read(spark, d, "benchmark")
+    """The n-gram index kept by a stream that reads the documents as files, run until nothing is left."""
+    pages = _read(spark, d, "documents")
     base = folder_for(spark)
-    pages.select("item_id", "text").repartition(4).write.parquet(f"{base}/in")
-    stream = gram_stream.read_pages(spark, f"{base}/in", "item_id long, text string", files_per_batch=2)
-    gram_stream.start_merge(stream, f"{base}/index", f"{base}/checkpoint", key="item_id").awaitTermination()
-    return gram_stream.read_index(spark, f"{base}/index", "item_id").select("item_id", "gram", "freq")
+    pages.select("doc_id", "text").repartition(4).write.parquet(f"{base}/in")
+    stream = gram_stream.read_pages(spark, f"{base}/in", "doc_id long, text string", files_per_batch=2)
+    gram_stream.start_merge(stream, f"{base}/index", f"{base}/checkpoint", key="doc_id").awaitTermination()
+    return gram_stream.read_index(spark, f"{base}/index", "doc_id").select("doc_id", "gram", "freq")
 
 
 
 # single operators of the text, page and recipe chains
 
 
-@query(f"SELECT item_id, term, p AS position FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT item_id, {_sql_words(least=2)} AS t FROM benchmark))")
+@query(f"SELECT doc_id, term, p AS position FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT doc_id, {_sql_words(least=2)} AS t FROM documents))")
 def token_positions(spark: SparkSession, d: str) -> DataFrame:
-    return text.positions([F.col("text")], _read(spark, d, "benchmark"), "item_id").select("item_id", "term", "position")
+    return text.positions([F.col("text")], _read(spark, d, "documents"), "doc_id").select("doc_id", "term", "position")
 
 
-@query(f"SELECT item_id, word, p AS position FROM (SELECT item_id, unnest(t) AS word, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT item_id, {_sql_runs()} AS t FROM benchmark)) WHERE word NOT IN ({_STOP})")
+@query(f"SELECT doc_id, word, p AS position FROM (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1)::INTEGER - 1 AS p FROM (SELECT doc_id, {_sql_runs()} AS t FROM documents)) WHERE word NOT IN ({_STOP})")
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.words(_read(spark, d, "benchmark"), ngrams.stopwords(spark), key="item_id", stem=False).select("item_id", "word", "position")
+    return ngrams.words(_read(spark, d, "documents"), ngrams.stopwords(spark), key="doc_id", stem=False).select("doc_id", "word", "position")
 
 
-@query(f"SELECT item_id, w[i] || ' ' || w[i + 1] AS gram, count(*) AS freq FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT item_id, {_sql_runs()} AS w FROM benchmark)) GROUP BY ALL")
+@query(f"SELECT doc_id, w[i] || ' ' || w[i + 1] AS gram, count(*) AS freq FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT doc_id, {_sql_runs()} AS w FROM documents)) GROUP BY ALL")
 def bigrams(spark: SparkSession, d: str) -> DataFrame:
-    found = ngrams.in_row_grams(_read(spark, d, "benchmark"), [], key="item_id", longest=2)
+    found = ngrams.in_row_grams(_read(spark, d, "documents"), [], key="doc_id", longest=2)
     return found.filter(F.contains("gram", F.lit(" ")))
 
 

@@ -12,7 +12,7 @@ from .functions import html, ids, recipes, text, urls
 from .lineage import folder_for, staged
 from .operators import enrich, frontier, index, ngrams, ranking, spell, stats
 from .plans import corpus, crawl, hybrid, pages
-from .queries import _AMOUNT_SQL, _ATTRS, _BUCKET, _ITEM_GRAMS, _LINES, _POSTS, _ask, _bm25_sql, _contains, _edits_sql, _items, _pairs, _read, _records, query, stored_index
+from .queries import _AMOUNT_SQL, _ATTRS, _BUCKET, _DOC_GRAMS, _LINES, _POSTS, _ask, _bm25_sql, _contains, _edits_sql, _doc_grams, _pairs, _read, _records, query, stored_index
 from .shipping import ship
 from .sources import sitemaps, store, tables, web
 
@@ -402,13 +402,13 @@ def kv_memory(spark: SparkSession, d: str) -> DataFrame:
     return kept.table("g")
 
 
-@query(f"SELECT gram, CAST(sum(freq) AS BIGINT) AS freq_sum, row_number() OVER (ORDER BY gram) AS line FROM ({_ITEM_GRAMS}) GROUP BY gram")
+@query(f"SELECT gram, CAST(sum(freq) AS BIGINT) AS freq_sum, row_number() OVER (ORDER BY gram) AS line FROM ({_DOC_GRAMS}) GROUP BY gram")
 def index_file(spark: SparkSession, d: str) -> DataFrame:
     """The global index written as sorted text lines and read back; `line` is the place in the files."""
     path = f"{folder_for(spark)}/index"
-    ngrams.write_lines(ngrams.to_lines(ngrams.posting_lists(_items(spark, d))), path)
-    lines = ngrams.read_lines(spark, path)
-    return ngrams.from_lines(lines).join(lines.select(F.substring_index("value", " | ", 1).alias("gram"), "line"), "gram").select("gram", "freq_sum", "line")
+    ngrams.write_lines(ngrams.to_lines(ngrams.posting_lists(_doc_grams(spark, d))), path)
+    lines = ngrams.from_lines(ngrams.read_lines(spark, path))
+    return lines.groupBy("gram").agg(F.sum("freq_sum").alias("freq_sum"), F.min("line").alias("line"))
 
 
 @query("SELECT row_number() OVER (ORDER BY source) AS round, n AS visited FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)")

@@ -133,6 +133,11 @@ def test_merge(spark):
     new = spark.createDataFrame([("stuff level", 3, "urlA"), ("simpl link", 1, "urlA")], "gram string, freq long, url string")
     lines = ngrams.to_lines(ngrams.posting_lists(ngrams.merge(old, new)))
     assert sorted(r["value"] for r in lines.collect()) == ["simpl link | urlA 1", "stuff level | urlA 3 urlB 2"]
+    hot = spark.range(50).select(F.lit("a b").alias("gram"), (F.col("id") % 3 + 1).alias("freq"), F.concat(F.lit("u"), F.col("id")).alias("url"))
+    several = ngrams.posting_lists(hot.union(old), most=8).collect()
+    assert max(len(r["postings"]) for r in several) < 20 and len(several) > 5
+    assert sorted(p["url"] for r in several if r["gram"] == "a b" for p in r["postings"]) == sorted(f"u{i}" for i in range(50))
+    assert all(r["postings"] == sorted(r["postings"], key=lambda p: (-p["freq"], p["url"])) for r in several)
     twice = ngrams.merge(ngrams.merge(old, new), new).filter("gram = 'simpl link'").first()
     assert twice["freq"] == 2
 
