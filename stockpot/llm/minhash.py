@@ -288,8 +288,8 @@ def by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40) -> DataFrame:
     """The rows of docs that stay: one document of each component, the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays, the one with the smallest text; rows without
-    doc_id all stay. Rows that are neither linked nor repeated are not shuffled.
+    Of rows that repeat a doc_id one stays: the one with the smallest text, null and empty
+    texts last; rows without doc_id all stay. Rows that are neither linked nor repeated are not shuffled.
     """
     rows = staged(sketch(docs, words, k))
     gone = _components(docs, rows, words, percent, k).filter("NOT kept").select("doc_id", F.lit(True).alias("_gone"))
@@ -297,5 +297,7 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40)
     special = staged(gone.union(again).groupBy("doc_id").agg(F.max("_gone").alias("_gone")))
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     found, rest = by_ids(keyed, special)
-    one = found.filter("NOT _gone").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row")).select("_row.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = found.filter("NOT _gone").groupBy("doc_id").agg(F.min_by(row, F.struct(text == "", text)).alias("_row")).select("_row.*")
     return rest.select(*docs.columns).unionByName(one)

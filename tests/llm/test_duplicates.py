@@ -93,7 +93,7 @@ def test_short_texts_ties_and_shared_passages(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85)
 
 
-def test_duplicates_odd_rows(odd, odd_rows, empty):
+def test_duplicates_odd_rows(spark, odd, odd_rows, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
     by = {r["doc_id"]: r for r in got}
@@ -102,6 +102,8 @@ def test_duplicates_odd_rows(odd, odd_rows, empty):
     kept = minhash.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == len(odd_rows) - 1
     assert minhash.deduplicate(empty).count() == 0
+    again = spark.createDataFrame([(1, None), (1, "b c d"), (1, ""), (1, "b c"), (2, None), (2, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"] or "") for r in minhash.deduplicate(again).collect()) == [(1, "b c"), (2, "")]
 
 
 def test_deduplicate_keeps_one_of_each(spark, data):
