@@ -7,7 +7,9 @@ so only that prefix, rarest tokens first, is posted, and a document with fewer t
 tokens that others have is skipped altogether. Pairs from a list are kept if they agree
 on T coordinates and are then confirmed on the full shingle sets. Lists whose
 documents are already connected are skipped, so a group of copies costs about one pair
-a document, and what is left is compared exhaustively across components.
+a document, and what is left is compared exhaustively across components. Clusters too
+large for one task go through the same join once more, with longer signatures whose
+match threshold lies closer to the similarity asked for, before whole sets meet.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, release, released, small_batches, staged
@@ -62,9 +64,9 @@ def _steps(k: int) -> np.ndarray:
     return _STEPS[:k] if k <= 64 else np.random.default_rng(909).integers(1, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def agreement(k: int, similarity: float) -> int:
-    """Coordinates on which a pair of this similarity agrees but with a chance below one in a million."""
-    return max(1, math.floor(k * similarity - 5 * math.sqrt(k * similarity * (1 - similarity))))
+def agreement(k: int, similarity: float, deviations: float = 5) -> int:
+    """Coordinates on which a pair of this similarity agrees but with a chance of a few in a million (6: in 10 million)."""
+    return max(1, math.floor(k * similarity - deviations * math.sqrt(k * similarity * (1 - similarity))))
 
 
 def _longs(x: np.ndarray) -> np.ndarray:
@@ -104,6 +106,20 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, shingles array<long>")
 
 
+def _resigned(sets: DataFrame, k: int) -> DataFrame:
+    """(node, n, tokens): signatures of k coordinates of whole sets (node, n, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, cut = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            tokens = [_longs(signature(flat[a:b], k)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            offsets = np.arange(len(tokens) + 1, dtype=np.int32) * k
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))], names=["node", "n", "tokens"])
+
+    return sets.select("node", "n", "shingles").mapInArrow(released(run), "node long, n long, tokens array<long>")
+
+
 def _postings(classes: DataFrame, k: int, least: int) -> DataFrame:
     """(token, node): the prefix of each class in the order of token frequency.
 
@@ -121,6 +137,40 @@ def _postings(classes: DataFrame, k: int, least: int) -> DataFrame:
     return rows.filter(F.col("rank") <= F.col("own") - least + 1).select("token", "node")
 
 
+def _lists(classes: DataFrame, k: int, least: int) -> DataFrame:
+    """(group, node): the posting lists of at least two classes."""
+    postings = staged(_postings(classes, k, least))
+    heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail").select("token", "head")
+    return staged(postings.join(heads.hint("merge"), "token").select(F.col("token").alias("group"), "node"))
+
+
+def _marks() -> Column:
+    """Two bytes a coordinate: agreement on tokens is never undercounted."""
+    return F.transform("tokens", lambda t: F.pmod(t, F.lit(32749)).cast("short")).alias("marks")
+
+
+#: Coordinates of the longer signatures of large clusters, and the standard deviations their threshold allows.
+FINE, FINE_DEVIATIONS = 128, 6
+
+
+def refined(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """clusters(group, node), those that fill more than a part cut along longer signatures.
+
+    Documents of a common template agree with one another in chains, far below `percent`;
+    only those whose FINE coordinates agree stay in a cluster, found by their posting
+    lists, so whole sets of the others never meet. Members without a partner left go.
+    """
+    sums = clusters.join(sets.select("node", "n"), "node").groupBy("group").agg(F.sum("n").alias("total"))
+    large = staged(clusters.join(sums.filter(F.col("total") > SET_PART).hint("merge"), "group", "left_semi"))
+    if large.isEmpty():
+        return clusters
+    least = agreement(FINE, percent / 100, FINE_DEVIATIONS)
+    fine = staged(_resigned(sets.join(large.select("node"), "node", "left_semi"), FINE))
+    alike = components(connect(_lists(fine, FINE, least), fine.select("node", "n", _marks()), "1", SIGNATURE_PART, least, percent))
+    small = clusters.join(large.select("node"), "node", "left_anti").select("group", "node")
+    return small.unionByName(alike.select(F.col("root").alias("group"), "node"))
+
+
 #: What one part of a group holds at most: shingles where whole sets are compared, else signatures.
 SET_PART, SIGNATURE_PART = 600_000, 4_096
 #: Documents of one component of a part that stand for it when parts meet.
@@ -247,20 +297,16 @@ def _components(docs: DataFrame, rows: DataFrame, words: int, percent: int, k: i
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, named by its smallest doc_id; copies are never paired with each other.
     classes = staged(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
-    postings = staged(_postings(classes, k, least))
-    heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail").select("token", "head")
-    lists = staged(postings.join(heads.hint("merge"), "token").select(F.col("token").alias("group"), "node"))
-    # Two bytes a coordinate: agreement on tokens is never undercounted.
-    marks = F.transform("tokens", lambda t: F.pmod(t, F.lit(32749)).cast("short"))
+    lists = _lists(classes, k, least)
     inside = lists.select("node").distinct()
-    signatures = staged(classes.join(inside, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), marks.alias("marks")))
+    signatures = staged(classes.join(inside, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), _marks()))
     # Lists give clusters of documents whose signatures agree; whole sets are compared inside a cluster only.
     alike = components(connect(lists, signatures, "1", SIGNATURE_PART, least, percent))
     clusters = alike.select(F.col("root").alias("group"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(full_sets(by_ids(texts, clusters.select(F.col("node").alias("doc_id")))[0], words).withColumnRenamed("doc_id", "node"))
     whole = staged(signatures.join(sets, "node").withColumn("n", F.size("shingles").cast("long")))
-    labels = components(connect(clusters, whole, "n", SET_PART, least, percent))
+    labels = components(connect(refined(clusters, whole, percent), whole, "n", SET_PART, least, percent))
     # From classes to rows.
     named = classes.select("set_a", "set_b", F.col("node").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left")
     named = named.select("set_a", "set_b", F.coalesce("root", "class").alias("component_id"))

@@ -86,6 +86,35 @@ def test_large_groups_near_the_threshold(spark, monkeypatch):
     assert check(docs, 3, 85) == want
 
 
+def test_clusters_of_a_template_are_cut_along_longer_signatures(spark, monkeypatch):
+    rng = random.Random(8)
+    # 200 documents that share 85 of 120 words in place, far below the threshold with one another, and one copy of each tenth.
+    template, texts = prose(rng, 85), []
+    for i in range(200):
+        own = prose(rng, 35)
+        texts.append(f"{template} {own}")
+        if i % 10 == 0:
+            texts.append(f"{template} {own} end")
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    met = []
+    compared = minhash.connect
+    monkeypatch.setattr(minhash, "connect", lambda members, *rest: met.append(members.count()) or compared(members, *rest))
+    monkeypatch.setattr(minhash, "SET_PART", 3_000)
+    check(docs, 3, 85)
+    lists, fine, whole = met  # the coarse lists, the longer signatures' lists, the clusters whose whole sets meet
+    assert lists and fine and 40 <= whole < 120, met
+
+
+def test_longer_signatures_lose_no_pair_at_the_threshold():
+    rng, lost = np.random.default_rng(5), 0
+    for _ in range(400):
+        s = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = minhash.signature(s[:185], minhash.FINE), minhash.signature(s[15:], minhash.FINE)  # 170 of 200 in common: 0.85
+        lost += int((a == b).sum()) < minhash.agreement(minhash.FINE, 0.85, minhash.FINE_DEVIATIONS)
+    assert lost == 0
+
+
 def test_short_texts_ties_and_shared_passages(spark):
     rng = random.Random(4)
     passage = prose(rng, 60)
