@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -264,3 +265,39 @@ def test_sketches_are_never_farther_apart_than_their_vectors():
         s = embdedup._sketches(x).astype(float)
         far = np.sqrt(((s[:, None] - s[None]) ** 2).sum(2))
         assert (far <= 127 * np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) + np.sqrt(s.shape[1]) + 1e-3).all()
+
+
+def template_sets(copies, size, most, seed=8):
+    """Sorted sets of copies of one template, each with up to `most` of its elements replaced."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+    return [np.unique(np.where(rng.random(size) < rng.uniform(0, most), rng.integers(0, 5_000, size).astype(np.uint64), base)) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("tile", [300, 1 << 20])
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_sets_counted_together_link_as_one_by_one(monkeypatch, tile, percent):
+    monkeypatch.setattr(minhash, "_TILE", tile)
+    sets = [*template_sets(90, 60, 0.2), *[np.array([i], np.uint64) for i in (3, 4, 3)]]
+    got = list(minhash.linked(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), percent))
+    for i, row in enumerate(got):
+        both = [len(np.intersect1d(sets[i], s)) for s in sets[i + 1 :]]
+        assert row.tolist() == [b * 100 >= (len(sets[i]) + len(s) - b) * percent for b, s in zip(both, sets[i + 1 :], strict=True)]
+
+
+def test_template_copies_that_stay_apart_are_compared_in_seconds():
+    """A group of 1,200 copies of which most link with none: one search a pair took the CPU time below many times over."""
+    sets = template_sets(1_200, 390, 0.25)
+    sizes = [len(s) for s in sets]
+    marks = [[0] * 40] * len(sets)
+    zero = [0] * len(sets)
+    table = pa.table({"group": zero, "node": range(len(sets)), "root": range(len(sets)), "part": zero, "i": zero, "j": zero, "n": sizes, "marks": pa.array(marks, pa.list_(pa.int16())), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+    began = time.process_time()
+    pairs = minhash._links(22, 85)(table).to_pylist()
+    assert time.process_time() - began < 3
+    root = list(range(len(sets)))
+    for p in pairs:
+        a, b = root[p["a"]], root[p["b"]]
+        assert a != b and len(np.intersect1d(sets[p["a"]], sets[p["b"]])) * 185 >= (sizes[p["a"]] + sizes[p["b"]]) * 85
+        root = [a if r == b else r for r in root]
+    assert 1 < len(set(root)) < len(sets)
