@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_helpers import prose, split_words
 
-from stockpot.llm import ann, langid, lm, toxicity
+from stockpot.llm import ann, common, langid, lm, toxicity
 
 
 def crc(doc, mod):
@@ -291,3 +291,21 @@ def test_traverse_goes_by_summed_distance():
     order = ann.traverse(a, b, np.ones(6, np.int64), 6)
     sums = [a[c // 2] + b[c % 2] for c in order]
     assert sums == sorted(sums) and len(set(order.tolist())) == 6
+
+
+def test_toxicity_learns_from_rows_beyond_any_bound(spark):
+    """A word of toxic rows that a hash sample of 5,000 leaves out is learnt too."""
+    rng = random.Random(6)
+    ids = spark.range(9_000).filter("crc32(string(id)) % 4 <> 2").withColumn("_h", F.xxhash64("id"))
+    later = {r["id"] for r in ids.join(common.hash_sample(ids, "_h", 5_000), "_h", "left_anti").collect()}
+    rows = [(i, prose(rng, 6) + ((" gorp" if i in later else " vile") if i % 4 == 0 else "")) for i in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    asked = spark.createDataFrame([(i, prose(rng, 6) + end) for i, end in enumerate([" gorp", " vile", ""] * 20)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] >= toxicity.CUT for r in toxicity.score(asked, toxicity.fit(docs, labels)).collect()}
+    assert sum(got[i] == (i % 3 != 2) for i in got) >= 58
+
+
+def test_toxicity_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 120)
+    test_toxicity_on_held_out_rows(spark)
