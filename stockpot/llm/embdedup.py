@@ -190,8 +190,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = staged(whole.groupBy("pack", "i", "j").applyInArrow(_compare(cosine), "node long, links long, root long"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("root <> node"), "node", "root")
-    named = classes.join(sums, "node", "left").join(roots, "node", "left")
+    named = classes.join(sums.hint("merge"), "node", "left").join(roots.hint("merge"), "node", "left")
     named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    linked = rows.filter("fit").drop("fit").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    linked = rows.filter("fit").drop("fit").join(named.hint("merge"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

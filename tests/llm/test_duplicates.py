@@ -302,3 +302,26 @@ def test_template_copies_that_stay_apart_are_compared_in_seconds(least, percent)
         assert a != b and len(np.intersect1d(sets[p["a"]], sets[p["b"]])) * (100 + percent) >= (sizes[p["a"]] + sizes[p["b"]]) * percent
         root = [a if r == b else r for r in root]
     assert 1 < len(set(root)) < len(sets)
+
+
+def test_no_table_that_grows_is_broadcast(spark, data, monkeypatch):
+    """Staged tables are small files of many rows; only the bitmap of fixed size and sides that were counted (join_small) may be broadcast."""
+    import re
+
+    from stockpot.llm import components as linked
+
+    plans = []
+
+    def watch(module, name):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+
+    for module, name in ((minhash, "staged"), (minhash, "checkpointed"), (linked, "checkpointed"), (embdedup, "staged")):
+        watch(module, name)
+    monkeypatch.setattr(minhash, "SIGNATURE_PART", 8)
+    monkeypatch.setattr(minhash, "SET_PART", 2000)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for out in (minhash.near_duplicates(docs, 3, 85), embdedup.near_vectors(spark.read.parquet(f"{data}/embeddings.parquet"))):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert plans and [x for x in joins if not re.search(r"BroadcastHashJoin \[(_word|bucket)#", x)] == []
