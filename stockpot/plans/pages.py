@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import crawl_docs, parse_pages
 from ..functions.recipes import normalise
-from ..operators import index, ngrams
+from ..operators import counting, index, ngrams
 
 
 def canonical(pages: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def recipe_index(pages: DataFrame) -> index.Index:
 
 def gram_index(pages: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """(gram, url, freq): the n-gram index of pages(url, html) without markup."""
-    texts = parse_pages(pages.select("url", "html")).select("url", F.col("page.text").alias("text"))
-    return ngrams.in_row_grams(texts, ngrams.STOPWORDS if stop is None else stop, key="url").select("gram", "url", "freq")
+    kept = ngrams.kept_words(F.col("page.text"), ngrams.STOPWORDS if stop is None else stop)
+    words = lambda part: parse_pages(part).select("url", kept.alias("_w"))
+    return counting.counted(pages.select("url", "html"), "url", words, ngrams.LONGEST, "gram", "freq").select("gram", "url", "freq")
 
 
 def crawl_links(pages: DataFrame, visited: DataFrame, holds: str = "food.com/recipe") -> DataFrame:
