@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recipes import time_bucket
 from ..functions.text import tokens
+from . import counting
 
 SNIPPET = 280
 #: Field weights of the full-text column: title, ingredients, steps.
@@ -18,24 +19,23 @@ WEIGHTS = {"A": "title", "B": "ingredients", "C": "steps"}
 def postings(docs: DataFrame, sections: list[Column], key: str = "doc_id") -> DataFrame:
     """(term, key, tf, positions): counts and sorted token offsets over all sections, in their order.
 
-    Rows that repeat a key count once. The only shuffle is the grouping by (key, term).
+    Rows that repeat a key count once. Tokens are counted inside the row; only repeated keys are shuffled.
     """
-    merged = F.concat(*[tokens(s) for s in sections])
-    every = docs.select(key, merged.alias("_tokens")).dropDuplicates([key]).select(key, F.posexplode("_tokens").alias("position", "term"))
-    return every.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    found = counting.placed(docs, key, F.concat(*[tokens(s) for s in sections]))
+    return found.select("term", key, F.col("tf").cast("int").alias("tf"), "positions")
 
 
 def counted_postings(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
-    """(term, key, tf) without positions, for keys that don't repeat.
+    """(term, key, tf) without positions; rows that share a key add up.
 
-    A document's tokens are counted by the task that reads it, so one row a posting is shuffled.
+    A document's tokens are counted inside its row, so nothing is shuffled but rows that share a key.
     """
     return counted(docs, tokens(text), key)
 
 
 def counted(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
     """(term, key, tf) of rows whose tokens are known."""
-    return docs.select(key, F.explode(found).alias("term")).groupBy("term", key).agg(F.count("*").cast("int").alias("tf"))
+    return counting.counted(docs, key, found).select("term", key, F.col("tf").cast("int").alias("tf"))
 
 
 def document_frequency(posts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -120,9 +120,10 @@ def weighted_postings(recipes: DataFrame) -> DataFrame:
     """(term, doc_id, weight, tf): the weighted full-text column, weight A title, B ingredients, C steps."""
     texts = {"title": F.col("title"), "ingredients": F.array_join("ingredients_raw", " "), "steps": F.array_join("steps_raw", " ")}
     parts = [F.transform(tokens(texts[field]), _weighted(w)) for w, field in WEIGHTS.items()]
-    rows = recipes.select(F.col("recipe_id").alias("doc_id"), F.explode(F.concat(*parts)).alias("_x"))
-    return rows.groupBy("_x.term", "doc_id", "_x.weight").agg(F.count("*").alias("tf"))
+    rows = counting.counted(recipes.withColumn("doc_id", F.col("recipe_id")), "doc_id", F.concat(*parts))
+    return rows.select(F.expr("substring(term, 2)").alias("term"), "doc_id", F.substring("term", 1, 1).alias("weight"), "tf")
 
 
 def _weighted(weight: str):
-    return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
+    """A term with the letter of its weight before it."""
+    return lambda t: F.concat(F.lit(weight), t)
