@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..shipping import ship
+from ..shipping import small_batches
 
 TAG_CAP, PROMPT_STEPS = 12, 12
 Client = Callable[[str], object]
@@ -66,7 +66,7 @@ def enrich(recipes: DataFrame, make_client: Callable[[], Client] | None = None,
     Only recipes with weak fields are asked about, each cache key once, and only if the
     cache has no valid answer; without a client nothing is asked. Answers arrive as JSON or objects.
     """
-    ship(recipes.sparkSession)
+    small_batches(recipes.sparkSession)
     rows = recipes.withColumn("_fields", needed_fields(recipes))
     rows = cut(rows.withColumn("_key", F.when(F.size("_fields") > 0, F.concat(F.col("extraction_meta.source_hash"), F.lit("-"), F.array_join("_fields", "_")))))
     known = cache.select(F.col("cache_key").alias("_key"), "answer") if cache is not None else rows.sparkSession.createDataFrame([], "_key string, answer string")

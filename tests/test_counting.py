@@ -67,3 +67,13 @@ def test_only_shared_keys_are_shuffled(spark, data):
         before = shuffled(spark)
         assert make().count() > 10_000
         assert shuffled(spark) - before < 1_000
+
+
+def test_pages_reach_python_in_small_batches(spark, data):
+    """A worker's memory follows the batch, so pages and prompts come 500 at a time, whatever the session says."""
+    from stockpot.functions.html import parse_pages
+    from stockpot.shipping import ARROW_ROWS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert parse_pages(spark.read.parquet(f"{data}/pages.parquet")).count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS
