@@ -77,3 +77,19 @@ def test_pages_reach_python_in_small_batches(spark, data):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert parse_pages(spark.read.parquet(f"{data}/pages.parquet")).count() > 0
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS
+
+
+def test_rows_of_an_index_are_shuffled_once(spark):
+    """Lists, hot grams and merges of several indexes: one shuffle of the rows, no sums of distinct rows before it."""
+    rows = [(f"g{i % 3000}", f"u{i}", 1) for i in range(9000)] + [("hot", f"u{i}", 2) for i in range(500)]
+    flat = spark.createDataFrame(rows, "gram string, url string, freq long").select("gram", "freq", "url")
+    before = shuffled(spark)
+    lists = ngrams.posting_lists(flat, most=100).collect()
+    # The rows, the slots of each task and the count of the one hot gram; three times the rows before.
+    assert shuffled(spark) - before < len(rows) + 4 * 3000 + 100
+    hot = [r["postings"] for r in lists if r["gram"] == "hot"]
+    assert len(hot) == 5 and sorted(p["url"] for x in hot for p in x) == sorted(f"u{i}" for i in range(500))
+    assert sum(len(r["postings"]) for r in lists) == len(rows)
+    before = shuffled(spark)
+    summed = ngrams.merge(flat, flat, flat).collect()
+    assert shuffled(spark) - before <= 3 * len(rows) and {r["freq"] for r in summed} == {3, 6} and len(summed) == len(rows)
