@@ -93,3 +93,17 @@ def test_rows_of_an_index_are_shuffled_once(spark):
     before = shuffled(spark)
     summed = ngrams.merge(flat, flat, flat).collect()
     assert shuffled(spark) - before <= 3 * len(rows) and {r["freq"] for r in summed} == {3, 6} and len(summed) == len(rows)
+
+
+def test_keywords_and_trims_run_without_patterns(spark):
+    """Plain keywords and white space need no regex over whole texts; the results are those of the patterns."""
+    from stockpot.functions import recipes
+
+    texts = ["Beef in the  oven", "soven", "air fryer", "AIRFRY", "", None, "gluten-free", "\t a\n b \x0b\f\r", " \n ", "a", "böuf ham "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for keys in (recipes.MEAT, recipes.GLUTEN_FREE, *recipes.APPLIANCES.values()):
+        got = rows.select(recipes._has(F.col("t"), keys).alias("a"), F.rlike("t", F.lit("|".join(keys))).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got]
+    trimmed = rows.select(recipes._trim(F.col("t")).alias("a"), F.regexp_replace("t", "^\\s+|\\s+$", "").alias("b"))
+    assert all(r["a"] == r["b"] for r in trimmed.collect())
+    assert "rlike" not in str(recipes._has(F.col("t"), recipes.MEAT)).lower() and "regexp" not in str(recipes._trim(F.col("t"))).lower()
