@@ -107,3 +107,17 @@ def test_keywords_and_trims_run_without_patterns(spark):
     trimmed = rows.select(recipes._trim(F.col("t")).alias("a"), F.regexp_replace("t", "^\\s+|\\s+$", "").alias("b"))
     assert all(r["a"] == r["b"] for r in trimmed.collect())
     assert "rlike" not in str(recipes._has(F.col("t"), recipes.MEAT)).lower() and "regexp" not in str(recipes._trim(F.col("t"))).lower()
+
+
+def test_recipes_of_one_url_alone_are_shuffled(spark, data):
+    from stockpot.functions.recipes import normalise
+    from stockpot.queries import _records
+    from stockpot.sources import tables
+
+    rows = normalise(_records(spark, data))
+    twice = rows.limit(1).withColumn("recipe_id", F.lit(""))
+    made = tables.relational(rows.unionByName(twice))["recipes"]
+    # Before, the window sorted every recipe; now the longest way of a recipe is a bitmap lookup.
+    assert made.count() == rows.count() and made.filter("recipe_id = ''").count() == 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("Window")[0]
